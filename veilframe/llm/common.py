@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 #: (and one row at least).
 SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 
+#: Bytes of an Arrow batch between Spark and Python at most: each task holds several in memory
+#: outside the heap, rounded up to powers of two.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -106,6 +110,9 @@ def map_text(
     `make` runs once a task and returns a function from a list of texts to one list (or Arrow
     array) per field. A column of df whose name is that of a field is replaced.
     """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
     if text not in kept:  # the text itself is to be replaced: pass it under another name

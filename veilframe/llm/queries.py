@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .decontam import OP8_SQL, op8_decontamination
 from .linededup import OP9_SQL, op9_line_dedup
 from .media import op2_media
+from .pii import op10_pii
 from .quality import op7_quality
 from .sharding import op5_sharding
 from .simhash import op3_simhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 SQL = {"op4_url_filter": OP4_SQL, "op9_line_dedup": OP9_SQL, "op8_decontamination": OP8_SQL}

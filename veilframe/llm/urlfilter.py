@@ -94,8 +94,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     plain = urls.select("host", "path", F.lit("rule").alias("kind"), F.col("host").alias("h"), F.col("path").alias("p"))
     canonical = urls.select("host", "path", F.lit("list").alias("kind"), F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":(80|443)?$", "").alias("h"), F.regexp_replace("path", r"/+", "/").alias("p"))
     numbers = lambda xs: F.array(*map(F.lit, xs))
-    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= F.size(F.split("h", r"\."))), lambda n: F.substring_index(F.col("h"), ".", -n))
-    prefixes = F.transform(F.filter(numbers(lengths), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), 1, n))
+    suffixes = F.transform(F.filter(numbers(labels), lambda n: n <= F.size(F.split("h", r"\."))), lambda n: F.call_function("substring_index", F.col("h"), F.lit("."), -n))
+    prefixes = F.transform(F.filter(numbers(lengths), lambda n: n <= F.length("p")), lambda n: F.call_function("substring", F.col("p"), F.lit(1), n))
     candidates = plain.union(canonical).select("host", "path", "kind", F.explode(suffixes).alias("suffix"), "p").select("host", "path", "kind", "suffix", F.explode(prefixes).alias("prefix"))
     candidates = candidates.select("host", "path", F.concat_ws(" ", "kind", F.concat("suffix", "prefix")).alias("key"))
     hits = listed_hits(candidates, entries.select("key", "kind", F.col("entry").alias("fits"), F.length("host").alias("n_host"), "says"))
