@@ -86,9 +86,13 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch, bounded by SLICE_ROWS and SLICE_BYTES of column `at`."""
+    """Consecutive parts of a batch, bounded by SLICE_ROWS and SLICE_BYTES of column `at` (a text,
+    binary, or a struct of texts)."""
     n, begin = batch.num_rows, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+    column = batch.column(at)
+    sizes = [0] * n
+    for texts in column.flatten() if pa.types.is_struct(column.type) else [column]:
+        sizes = [a + b for a, b in zip(sizes, pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist(), strict=True)]
     total = 0
     for i, size in enumerate(sizes):
         if i > begin and (total + size > SLICE_BYTES or i - begin >= SLICE_ROWS):
@@ -141,6 +145,11 @@ def map_text(
     return df.mapInArrow(run, schema)
 
 
+def map_struct(df: DataFrame, name: str, fields: list[T.StructField], make) -> DataFrame:
+    """map_text() for a column that is a struct of texts; the function gets dicts."""
+    return map_text(df, name, fields, make)
+
+
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, y) of labelled training rows, at most `most` of either class, by a hash of doc_id.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, map_text, materialise, spread
+from .common import components, free_name, map_struct, map_text, materialise, spread
 
 HOT_BUCKET = 24
 
@@ -88,45 +88,41 @@ def ring_chain(x: Column, radius: int, m: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that keep the components of "differ
-    in at most `radius` bits". Every edge is such a pair; not every such pair is an edge."""
+    """Edges (seed, a, b) between distinct fingerprints (columns seed and fp) of one seed that keep
+    the components of "differ in at most `radius` bits". Every edge is such a pair; not every such
+    pair is an edge."""
     m = radius + 2
     cuts = _cuts(m)
     agree = 2
     pairs = list(combinations(range(m), agree))
     keys = [F.struct(F.lit(k).cast("short").alias("t"), F.shiftleft(_segment(F.col("fp"), cuts[i]), cuts[j][1]).bitwiseOR(_segment(F.col("fp"), cuts[j])).alias("v")) for k, (i, j) in enumerate(pairs)]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.t", "key.v")
-    sizes = rows.groupBy("t", "v").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where("n > 1")
-    met = materialise(rows.join(sizes, ["t", "v"]), "buckets")
+    rows = fps.select("seed", "fp", F.explode(F.array(*keys)).alias("key")).select("seed", "fp", "key.t", "key.v")
+    sizes = rows.groupBy("seed", "t", "v").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(rows.join(sizes, ["seed", "t", "v"]), "buckets")
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     cold = met.where(F.col("n") <= HOT_BUCKET)
     # an ordered pair once, in the first bucket that has it
     owner = F.coalesce(*[F.when((_segment(x, cuts[i]) == 0) & (_segment(x, cuts[j]) == 0), F.lit(k)) for k, (i, j) in enumerate(pairs)])
     near = (
         cold.alias("l")
-        .join(cold.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.fp") > F.col("r.fp")) & (owner == F.col("l.t")) & ring_chain(x, radius, m) & (F.bit_count(x) <= radius))
-        .select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+        .join(cold.alias("r"), (F.col("l.seed") == F.col("r.seed")) & (F.col("l.t") == F.col("r.t")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.fp") > F.col("r.fp")) & (owner == F.col("l.t")) & ring_chain(x, radius, m) & (F.bit_count(x) <= radius))
+        .select("l.seed", F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     )
     return near.union(_hot_links(met.where(F.col("n") > HOT_BUCKET), radius))
 
 
 def _hot_links(met: DataFrame, radius: int) -> DataFrame:
-    """Stars around shared neighbours, for the fingerprints of large buckets.
-
-    With radius 2h, two fingerprints within it share a value at most h flips from both; with
-    2h + 1, one at most h flips from one and h + 1 from the other, so all of h + 1 flips are made
-    and the distance to the star's centre is checked along both.
-    """
+    """Stars around one-flip neighbours that fingerprints of large buckets share."""
     if radius > 2:
         raise ValueError("large buckets are linked for a radius of 1 or 2 only")
-    fps = met.select("fp").distinct()
+    fps = met.select("seed", "fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
-    near = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    near = fps.select("seed", "fp", F.explode(flips).alias("flip")).select("seed", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     if radius == 2:
-        first = near.groupBy("at").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last")
-        return near.join(first, "at").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+        first = near.groupBy("seed", "at").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last")
+        return near.join(first, ["seed", "at"]).where("fp <> first").select("seed", F.col("fp").alias("a"), F.col("first").alias("b"))
     # radius 1: a fingerprint's neighbour is itself a fingerprint
-    return near.join(fps.select(F.col("fp").alias("at")), "at").where("fp <> at").select(F.col("fp").alias("a"), F.col("at").alias("b"))
+    return near.join(fps.select("seed", F.col("fp").alias("at")), ["seed", "at"]).where("fp <> at").select("seed", F.col("fp").alias("a"), F.col("at").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -140,13 +136,117 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marked = with_fingerprint(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "text", "fp", shingle)
     marked = materialise(marked.select("doc_id", "fp"), "fingerprints")
     firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    parts = materialise(components(links(firsts.select("fp"), radius)), "components")
+    parts = materialise(components(links(firsts.select(F.lit(0).alias("seed"), "fp"), radius).select("a", "b")), "components")
     named = parts.join(firsts, parts.node == firsts.fp).select("node", "component", "first")
     named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id")
     of = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprints(text: str | None, seeds: int) -> list[int]:
+    """`seeds` SimHashes of the set of a text's words, from independent mixes of one hash a word."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * seeds
+    digest = xxhash.xxh64_intdigest
+    base = np.array([digest(w, 42) for w in words], dtype=np.uint64)
+    out = []
+    for k in range(seeds):
+        h = (base + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+#: For one_of_each_group(): fingerprints of a text, and rounds of verification.
+SEEDS, ROUNDS = 12, 3
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = SEEDS, radius: int = 2, rounds: int = ROUNDS) -> DataFrame:
+    """docs (with doc_id and text) less near copies: texts of a Jaccard similarity of `similarity`
+    or more over `shingle`-word shingles.
+
+    SimHashes of word sets, `seeds` independent ones, give candidates: texts that differ in at most
+    `radius` bits under any seed, by way of the pigeonring buckets. Their components are candidate
+    groups. In a group the smallest id stays; texts as similar to its text as asked go. The others
+    try again among themselves, `rounds` times in all; what is left then stays. So nothing goes
+    that was not compared with a text that stays. Word sets are used because a near copy by
+    shingles shares nearly all words: a copy with one word in fifty changed differs in few bits.
+
+    Of equal texts (null counts as empty) the smallest id stays; null ids stay only where a text
+    has no other; rows equal in id and text count once. Other columns stay.
+    """
+    spark = docs.sparkSession
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    keyed = spread(docs.select("doc_id", whole.alias("text"))).select("doc_id", "text", F.xxhash64("text").alias("k"), F.xxhash64("text", F.lit(1)).alias("l"))
+
+    def make():
+        return lambda texts: [[word_fingerprints(t, seeds) for t in texts]]
+
+    marked = map_text(keyed, "text", [T.StructField("fps", T.ArrayType(T.LongType()))], make).drop("text")
+    marked = materialise(marked, "marked")
+    # equal texts have equal fingerprints, so that a class has one of each seed
+    classes = materialise(marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *[F.min(F.col("fps")[i]).alias(f"fp{i}") for i in range(seeds)]), "classes")
+    by_seed = classes.select("k", F.posexplode(F.array(*[f"fp{i}" for i in range(seeds)])).alias("seed", "fp"))
+    tops = materialise(by_seed.groupBy("seed", "fp").agg(F.min("k").alias("top"), F.max("k").alias("last")), "tops")
+    same = by_seed.join(tops.where("top <> last"), ["seed", "fp"]).where("k <> top").select(F.col("k").alias("a"), F.col("top").alias("b"))
+    pairs = links(tops.select("seed", "fp"), radius)
+    top = lambda name: tops.select("seed", F.col("fp").alias(name), F.col("top").alias(f"{name}_top"))
+    near = pairs.join(top("a"), ["seed", "a"]).join(top("b"), ["seed", "b"]).select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
+    groups = components(same.union(near))
+    # members of groups, one row a class; the order decides who stays
+    members = classes.join(groups, classes.k == groups.node).select("k", "l", "first", "component")
+    pending = materialise(members, "members")
+    texts = materialise(keyed.join(classes.select("k", "l", "first"), ["k", "l"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).join(pending.select("k", "l"), ["k", "l"], "left_semi").groupBy("k", "l").agg(F.first("text").alias("text")), "member-texts")
+    gone = None
+
+    def compare():
+        last: list = [None, None]
+
+        def work(both):
+            out = []
+            for pair in both:
+                if last[0] != pair["kept"]:
+                    last[:] = [pair["kept"], shingle_set(pair["kept"], shingle)]
+                out.append(jaccard(last[1], shingle_set(pair["text"], shingle)))
+            return [out]
+
+        return work
+
+    for _ in range(rounds):
+        order = F.struct(F.col("first").isNull(), "first", "k", "l")
+        heads = pending.groupBy("component").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("component", F.col("head.k").alias("hk"), F.col("head.l").alias("hl"))
+        rest = pending.join(heads, "component").where((F.col("k") != F.col("hk")) | (F.col("l") != F.col("hl")))
+        kept_text = heads.join(texts.select(F.col("k").alias("hk"), F.col("l").alias("hl"), F.col("text").alias("kept")), ["hk", "hl"]).select("component", "kept")
+        both = rest.join(texts, ["k", "l"]).join(kept_text, "component").select("k", "l", "first", "component", F.struct("text", "kept").alias("pair"))
+        judged = materialise(map_struct(both, "pair", [T.StructField("likeness", T.DoubleType())], compare).drop("pair"), "judged")
+        found = judged.where(F.col("likeness") >= similarity).select("k", "l")
+        gone = found if gone is None else gone.union(found)
+        pending = judged.where(F.col("likeness") < similarity).select("k", "l", "first", "component")
+        if pending.isEmpty():
+            break
+    names = [free_name(docs, "veil_k"), free_name(docs, "veil_l")]
+    out = docs.select(*docs.columns, F.xxhash64(whole).alias(names[0]), F.xxhash64(whole, F.lit(1)).alias(names[1]))
+    stays = classes.join(gone, ["k", "l"], "left_anti").select(F.col("k").alias(names[0]), F.col("l").alias(names[1]), F.col("first").alias("veil_first"))
+    out = out.join(stays, names).where(F.col("doc_id").eqNullSafe(F.col("veil_first")))
+    if not marked.groupBy("doc_id", "k", "l").count().where("count > 1").isEmpty():  # rows equal in id and text
+        out = out.dropDuplicates(["doc_id", *names])
+    return out.select(docs.columns)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
