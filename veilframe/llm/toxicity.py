@@ -27,6 +27,8 @@ from .common import discard, held_out, map_text, materialise, spread, table, tra
 TRAIN_ROWS = 6000
 #: Entries of the learned lexicon at most, best evidence first, and the least evidence (G squared).
 LEXICON_ROWS, LEAST_EVIDENCE, LEAST_ROWS = 5000, 15.0, 3
+#: An entry has to be in this part of the toxic rows, or in toxic rows that no better entry is in.
+COMMON_PART = 0.03
 #: Lengths of word beginnings that are tried as entries.
 STEM = range(3, 9)
 #: Terms that a task counts before it passes them on.
@@ -116,9 +118,41 @@ def _counted(rows: DataFrame, of) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _cover(toxic: DataFrame, best: list, n: dict[int, int]) -> dict[str, float]:
+    """Weights of the entries that are taken, best evidence first.
+
+    An entry is left out if a better one begins like it, or if it is rare and tells nothing of
+    toxic rows that no better entry is in: such words stand beside the telling ones by chance. The
+    toxic training rows come to the driver as places in `best`; both are bounded by parameters.
+    """
+    clean = {r.term: r.clean for r in best}
+    order: dict[str, int] = {}
+    shorter: set[str] = set()
+    for r in best:
+        if r.term not in shorter and not any(r.term[:k] in order for k in range(2, len(r.term) + 1)):
+            order[r.term] = len(order)
+            shorter.update(r.term[:k] for k in range(2, len(r.term)))
+    found = F.udf(lambda t: sorted(order[x] for x in _terms(set(fold(t))) if x in order), "array<int>")
+    rows_of: dict[int, list[int]] = {}
+    for i, r in enumerate(toxic.select(found("text").alias("at")).toLocalIterator()):
+        for k in r["at"]:
+            rows_of.setdefault(k, []).append(i)
+    covered, taken = set(), {}
+    share = n[1] / (n[0] + n[1])
+    for term, k in order.items():
+        rows = rows_of.get(k, [])
+        a, b = sum(i not in covered for i in rows), clean[term]
+        new = a >= LEAST_ROWS and 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0)) >= LEAST_EVIDENCE
+        if new or len(rows) >= max(LEAST_ROWS, COMMON_PART * n[1]):
+            taken[term] = math.log((len(rows) + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+            covered.update(rows)
+    return taken
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the curve's coefficients, from labelled rows that are not held out."""
-    rows = materialise(train_rows(docs, labels, "toxic", most), "toxic-train")
+    # copies are no further evidence
+    rows = materialise(train_rows(docs, labels, "toxic", most).groupBy("text").agg(F.max("y").alias("y")), "toxic-train")
     n = dict.fromkeys((0, 1), 0) | {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     weights = {f" {''.join(fold(w))} ": x for w, x in GENERAL.items()}
     exceptions = [f" {' '.join(fold(p))} " for p in EXCEPTIONS]
@@ -135,13 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[L
             .limit(LEXICON_ROWS)
             .collect()
         )
-        taken: dict[str, float] = {}
-        shorter: set[str] = set()
-        for r in best:
-            if r.term in shorter or any(r.term[:k] in taken for k in range(2, len(r.term) + 1)):
-                continue
-            taken[r.term] = math.log((r.toxic + 0.5) / (n[1] + 1)) - math.log((r.clean + 0.5) / (n[0] + 1))
-            shorter.update(r.term[:k] for k in range(2, len(r.term)))
+        taken = _cover(rows.where("y = 1"), best, n)
         weights |= taken
         lexicon = Lexicon(weights, exceptions)
 
