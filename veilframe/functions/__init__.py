@@ -1,0 +1 @@
+"""Column functions: patterns, spans, validators, text and geometry."""

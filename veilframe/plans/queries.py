@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import actions, evaluation, layout, pages, stats, texts
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (texts, pages, layout, evaluation, stats, actions):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
