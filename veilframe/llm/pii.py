@@ -118,14 +118,17 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = GEN
     held = held.join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     pairs = near.join(held, ["kind", "value"]).select("kind", "value", "n_e", "key", F.explode("terms").alias("term")).distinct()
     pairs = pairs.join(copies, "key").groupBy("kind", "value", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    pairs = materialise(pairs, "pairs")
+    # a term stands in at least as many texts as have it near any entity, which bounds its share
+    known = F.log2(F.lit(float(total)) / F.col("n_e"))
+    told_by = lambda n: F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col(n))) / known
+    anywhere = near.select("key", F.explode("terms").alias("term")).distinct().join(copies, "key").groupBy("term").agg(F.sum("copies").alias("n_near"))
+    pairs = pairs.where(known > 0).join(anywhere, "term").where(told_by("n_near") > share)
+    pairs = materialise(pairs.select("kind", "value", "n_e", "term", "n_et"), "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     stands = texts.select(_key(F.col("text")).alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term")
     stands = materialise(stands.groupBy("term", "key").agg(F.count("*").alias("n")), "stands")
     n_t = stands.groupBy("term").agg(F.sum("n").alias("n_t"))
-    known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
-    told = pairs.join(n_t, "term").where(known > 0).withColumn("share", pmi / known)
+    told = pairs.join(n_t, "term").withColumn("share", told_by("n_t"))
     told = materialise(told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") > share), "told")
     return told, stands.join(told, "term").select("key", "term", "share")
 
