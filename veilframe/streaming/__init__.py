@@ -1,0 +1 @@
+"""Structured Streaming: redaction of streams, request and response state, pairing codes."""
