@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_text, spread, table
+from .common import CACHE, map_text, spread, table
 
 #: Words whose ids a Python worker remembers. Only speed depends on it.
 REMEMBERED = 1_000_000
@@ -187,14 +187,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker process, whatever the number of its tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """One codec a worker process for all tasks of this operator."""
+    known = CACHE.setdefault("bpe", {})
+    if (path, pattern) not in known:
+        known[path, pattern] = Codec(load_ranks(path), pattern)
+    return known[path, pattern]
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -206,7 +204,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", name:
         c = codec(path, pattern)
         return lambda texts: [c.encode(texts)]
 
-    return map_text(docs, text, [T.StructField(name, T.ArrayType(T.IntegerType()))], make)
+    return map_text(docs, text, [T.StructField(name, T.ArrayType(T.IntegerType()))], make, "bpe")
 
 
 def with_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -226,7 +224,7 @@ def with_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_text(docs, text, fields, make)
+    return map_text(docs, text, fields, make, "bpe")
 
 
 def with_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -242,7 +240,7 @@ def with_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text"
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
-    return map_text(docs, text, fields, make)
+    return map_text(docs, text, fields, make, "bpe")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

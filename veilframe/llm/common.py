@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -23,6 +26,21 @@ SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 BATCH_BYTES = 8 << 20
 
 
+#: What an operator keeps in a Python worker between its tasks. Spark reuses workers, so the next
+#: operator's first task in a worker lets go of the others' entries.
+CACHE: dict[str, object] = {}
+
+
+def let_go(keep: str | None) -> None:
+    gone = [k for k in CACHE if k != keep]
+    if gone:
+        for k in gone:
+            del CACHE[k]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give the memory back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,11 +126,13 @@ def map_text(
     text: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list], list]],
+    cache: str | None = None,
 ) -> DataFrame:
     """df with `fields` appended, computed from column `text` in Arrow batches.
 
     `make` runs once a task and returns a function from a list of texts to one list (or Arrow
-    array) per field. A column of df whose name is that of a field is replaced.
+    array) per field. A column of df whose name is that of a field is replaced. `cache` names the
+    operator's entry of CACHE, if it has one.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
@@ -134,6 +154,7 @@ def map_text(
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        let_go(cache)
         types = [to_arrow_type(f.dataType) for f in from_spark]
         work = make()
         for batch in batches:
