@@ -54,12 +54,14 @@ def _may(text: Column, pattern: Pattern) -> Column:
     return F.lower(text).contains(pattern.hint) & may if pattern.hint else may
 
 
-def matches(text: Column, patterns: list[tuple[Pattern, int]], source: str = "tier0") -> Column:
-    """Checked and scored spans of patterns with their ranks, in the patterns' order; none for
+def matches(text: Column, patterns: list[tuple[Pattern, int]], source: str = "tier0", check: bool = True) -> Column:
+    """Checked (by the types' own checks, unless told not to) and scored spans of patterns with their ranks, in the patterns' order; none for
     null texts. Texts without a pattern's hint or any match are left after one scan; one check and
     one score expression serve all patterns."""
     found = [F.when(_may(text, p), located(text, p, rank, source)).otherwise(none()) for p, rank in patterns]
-    ok = F.filter(F.concat(*found) if len(found) > 1 else found[0], lambda s: valid_match(s.type, s.value))
+    ok = F.concat(*found) if len(found) > 1 else found[0]
+    if check:
+        ok = F.filter(ok, lambda s: valid_match(s.type, s.value))
     score = lambda s: F.when(s.confidence > 0, s.confidence).otherwise(confidence(s.type, context(text, s.start, s.end)))
     return F.transform(ok, lambda s: s.withField("confidence", score(s)))
 

@@ -86,6 +86,8 @@ class _Walker(HTMLParser):
         if self.pending:
             text = _clean("".join(self.pending))
             self.pending = []
+            if text and node.tag == "#root":
+                self.in_body = True  # text before any tag of a body
             if text and self.in_body and not node.hidden:
                 for n in self.stack:
                     n.text.append(text)
