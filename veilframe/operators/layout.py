@@ -58,7 +58,7 @@ def _candidate(df: DataFrame, keys: list[str], source: str, ids: Column, label:
 
 def with_labels(items: DataFrame) -> DataFrame:
     """items with hit: the label of a sensitive field that their text is, or null."""
-    return S.once(items, "hit", F.when(F.length("text") <= 120, A.field_label(F.col("text"))))
+    return S.once(items, "hit", A.field_label(F.col("text")))
 
 
 def same_line(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,9 +104,8 @@ def vertical(ordered: DataFrame, keys: list[str]) -> DataFrame:
 
 def multi_line(ordered: DataFrame, keys: list[str]) -> DataFrame:
     """Labels over two rows; the value behind a colon in the second (0.88) or in the third (0.86)."""
-    short = ordered.where("length(text) <= 60")
     on = [F.col(f"u.{k}") == F.col(f"m.{k}") for k in keys] + [F.col("u.row") + 1 == F.col("m.row")]
-    pairs = short.alias("u").join(short.alias("m"), on)
+    pairs = ordered.alias("u").join(ordered.alias("m"), on)
     pairs = pairs.select(*[F.col(f"u.{k}").alias(k) for k in keys], F.col("u.id").alias("u_id"), F.col("m.id").alias("m_id"), F.col("m.text").alias("m_text"), F.col("m.box").alias("m_box"), F.col("m.row").alias("m_row"), F.concat_ws(" ", "u.text", "m.text").alias("both"))
     found = S.once(pairs, "hit", A.field_label(F.col("both"))).where("hit is not null")
     after = F.trim(F.regexp_extract("m_text", r"(?s)^[^:]*:(.*)$", 1))

@@ -66,7 +66,7 @@ SQL["j2_table_headers"] = "SELECT page_id, CAST(NULL AS INT) AS seg_ord, CAST(NU
 
 def l5_secret_labels(spark, sf_dir):
     """Texts of pages that name a secret."""
-    segs = segments(_pages(spark, sf_dir)).where("kind = 'text' and length(text) <= 200")
+    segs = segments(_pages(spark, sf_dir)).where("kind = 'text'")
     hit = A.secret_label(F.col("text"))
     return segs.select("page_id", "seg_ord", hit.alias("h")).where("h is not null").select("page_id", "seg_ord", "h.label", "h.type", "h.weak")
 
@@ -147,8 +147,8 @@ SQL["l21_check_summary"] = "WITH c AS (" + SQL["l20_static_checks"] + "), u AS (
 
 
 def l2_field_labels(spark, sf_dir):
-    """Short texts of pages that are labels of sensitive fields."""
-    segs = segments(_pages(spark, sf_dir)).where("kind = 'text' and length(text) <= 40")
+    """Texts of pages that are labels of sensitive fields."""
+    segs = segments(_pages(spark, sf_dir)).where("kind = 'text'")
     return segs.select("page_id", "seg_ord", A.field_label(F.col("text")).alias("h")).where("h is not null").select("page_id", "seg_ord", "h.label", "h.type")
 
 

@@ -179,13 +179,13 @@ def v7_confidence(spark, sf_dir):
     return rows.groupBy("s.type", "s.confidence").agg(F.count("*").alias("n"))
 
 
-def _lines(spark, sf_dir, n_max=80):
+def _lines(spark, sf_dir):
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(F.length("line").between(1, n_max))
+    return lines.where("line <> ''")
 
 
 def v8_field_value(spark, sf_dir):
-    """Lines up to 80 characters against the shapes of field types: true, false or no opinion."""
+    """Lines against the shapes of field types: true, false or no opinion."""
     kinds = F.array(*map(F.lit, ("EMAIL", "PHONE", "CARD_NUMBER", "DATE", "IFSC", "PASSWORD", "NAME")))
     rows = _lines(spark, sf_dir).select("line", F.explode(kinds).alias("field_type"))
     ok = V.field_value_passes(F.col("field_type"), F.col("line"))
@@ -193,7 +193,7 @@ def v8_field_value(spark, sf_dir):
 
 
 SQL["v8_field_value"] = r"""
-WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT line FROM l WHERE length(line) BETWEEN 1 AND 80),
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT line FROM l WHERE line <> ''),
 k AS (SELECT unnest(['EMAIL', 'PHONE', 'CARD_NUMBER', 'DATE', 'IFSC', 'PASSWORD', 'NAME']) AS field_type),
 x AS (SELECT field_type, CASE field_type WHEN 'EMAIL' THEN contains(line, '@') WHEN 'PHONE' THEN length(regexp_replace(line, '[^0-9]', '', 'g')) >= 7 WHEN 'CARD_NUMBER' THEN regexp_matches(line, '[0-9]{4}')
   WHEN 'DATE' THEN regexp_matches(line, '[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{2,4}') WHEN 'IFSC' THEN regexp_matches(regexp_replace(trim(line), '[.,;:]+$', ''), '(?i)^[A-Z]{4}0[A-Z0-9]{6}$')
@@ -214,15 +214,15 @@ SQL["v9_secret_value"] = SQL["v8_field_value"].replace("['EMAIL', 'PHONE', 'CARD
 
 
 def v10_plausible(spark, sf_dir):
-    """Which lines up to 80 characters may be a field's value."""
+    """Which lines may be a field's value."""
     return _lines(spark, sf_dir).select("doc_id", "pos", V.plausible_value(F.col("line")).alias("plausible"))
 
 
 _PROSE = r"len(list_filter(regexp_split_to_array({b}, '\s+'), lambda w: w <> '')) > 4"
 SQL["v10_plausible"] = r"""
 WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-v AS (SELECT doc_id, pos, trim(line) AS v, regexp_replace(trim(line), '(?i)^\s*[0-9]+[a-z]?[.)]\s*', '') AS b FROM l WHERE length(line) BETWEEN 1 AND 80)
-SELECT doc_id, pos, length(v) >= 2 AND regexp_matches(v, '(?i)[a-z0-9]') AND len(regexp_split_to_array(v, '\s+')) <= 8
+v AS (SELECT doc_id, pos, trim(line) AS v, regexp_replace(trim(line), '(?i)^\s*[0-9]+[a-z]?[.)]\s*', '') AS b FROM l WHERE line <> '')
+SELECT doc_id, pos, length(v) BETWEEN 2 AND 80 AND regexp_matches(v, '(?i)[a-z0-9]') AND len(regexp_split_to_array(v, '\s+')) <= 8
   AND NOT (""" + _PROSE.format(b="b") + r""" AND regexp_matches(b, '(?i)^[a-z\s.,?()''"]+$') AND NOT regexp_matches(b, '[0-9\-_/]'))
   AND NOT (regexp_matches(v, '(?i)^\s*[0-9]+[a-z]?[.)]\s+') AND trim(b) <> '' AND NOT regexp_matches(b, '[0-9@]') AND regexp_matches(trim(b), '(?i)^[a-z\s.,''()/\-]+$')) AS plausible FROM v
 """
@@ -234,8 +234,8 @@ def v11_plausible_dom(spark, sf_dir):
 
 SQL["v11_plausible_dom"] = r"""
 WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-v AS (SELECT doc_id, pos, trim(line) AS v FROM l WHERE length(line) BETWEEN 1 AND 80)
-SELECT doc_id, pos, length(v) >= 2 AND regexp_matches(v, '(?i)[a-z0-9]') AND len(list_filter(regexp_split_to_array(v, '\s+'), lambda w: w <> '')) <= 8
+v AS (SELECT doc_id, pos, trim(line) AS v FROM l WHERE line <> '')
+SELECT doc_id, pos, length(v) BETWEEN 2 AND 80 AND regexp_matches(v, '(?i)[a-z0-9]') AND len(list_filter(regexp_split_to_array(v, '\s+'), lambda w: w <> '')) <= 8
   AND NOT (""" + _PROSE.format(b="v") + r""" AND regexp_matches(v, '(?i)^[a-z\s.,?()''"]+$') AND NOT regexp_matches(v, '[0-9@/_-]')) AS plausible FROM v
 """
 
@@ -310,7 +310,7 @@ def t2_label_key(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "pos", T.label_key(F.col("line")).alias("key"))
 
 
-_LINES_SQL = "(SELECT doc_id, CAST(i - 1 AS INT) AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) l WHERE length(line) BETWEEN 1 AND 80"
+_LINES_SQL = "(SELECT doc_id, CAST(i - 1 AS INT) AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) l WHERE line <> ''"
 SQL["t2_label_key"] = rf"SELECT doc_id, pos, trim(regexp_replace(regexp_replace(replace(lower(line), '0', 'o'), '[.\-_:;/\\]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM {_LINES_SQL}"
 
 
