@@ -6,8 +6,8 @@ from veilframe.operators import stats as S
 
 
 def test_scores(spark):
-    truth = spark.createDataFrame([("f", 0, "g0", "EMAIL", "jeet.routh@gmail", "REDACT"), ("f", 1, "g1", "PHONE", "555 0142", "REDACT"), ("f", 2, "g2", "NAME", "meter 12", "LEAVE"), ("f", 3, "g3", "FACE", None, "REDACT")], "fixture string, gt_ord int, gt_id string, entity_type string, text string, action string")
-    found = spark.createDataFrame([("f", 1, 0, "EMAIL", "Jeet Dot Routh At Gmail"), ("f", 1, 1, "ID", "meter 12")], "fixture string, run int, ord int, entity string, text string")
+    truth = spark.createDataFrame([("f", 0, "g0", "EMAIL", "mina.solberg@gmail", "REDACT"), ("f", 1, "g1", "PHONE", "555 0142", "REDACT"), ("f", 2, "g2", "NAME", "meter 12", "LEAVE"), ("f", 3, "g3", "FACE", None, "REDACT")], "fixture string, gt_ord int, gt_id string, entity_type string, text string, action string")
+    found = spark.createDataFrame([("f", 1, 0, "EMAIL", "Mina Dot Solberg At Gmail"), ("f", 1, 1, "ID", "meter 12")], "fixture string, run int, ord int, entity string, text string")
     row = E.score_runs(truth, found, found, ["fixture"], ["fixture", "run"]).first()
     assert (row.tp, row.fp, row.fn, row.over_redact, row.type_mismatch) == (1, 1, 1, 1, 0)
     total = E.micro(E.score_runs(truth, found, found, ["fixture"], ["fixture", "run"]), ["fixture"]).first()
@@ -27,5 +27,5 @@ def test_stats(spark):
 
 
 def test_text(spark):
-    row = spark.createDataFrame([("Jeet Dot Routh At Gmail", "B-CITY")], "t string, l string").select(T.match_key(F.col("t")), *T.bio_label(F.col("l")), T.softmax(F.array(F.lit(0.0), F.lit(0.0)))[0]).first()
-    assert list(row) == ["jeet.routh@gmail", "B", "CITY", 0.5]
+    row = spark.createDataFrame([("Mina Dot Solberg At Gmail", "B-CITY")], "t string, l string").select(T.match_key(F.col("t")), *T.bio_label(F.col("l")), T.softmax(F.array(F.lit(0.0), F.lit(0.0)))[0]).first()
+    assert list(row) == ["mina.solberg@gmail", "B", "CITY", 0.5]

@@ -41,18 +41,18 @@ def test_fusion(spark):
     line = "Old account ending 3524 was closed by the bank in the year two thousand"
     df = spark.createDataFrame(
         [
-            (1, "ettin", ["a"], "ABC123XY98", None, "ID", 0.9, box, 0), (1, "ettin", ["a"], "98", None, "ID", 0.6, box, 1),
-            (2, "ettin", ["a"], "X1", None, "ID", 0.9, box, 0), (2, "deterministic_context", ["a"], "X1", "No", "NUM", 0.95, box, 1),
-            (3, "ettin", ["a"], "X1", None, "ID", 0.9, box, 0), (3, "ettin", ["b"], "X2", None, "ID", 0.9, (20.0, 0.0, 30.0, 10.0), 1),
-            (4, "ettin", ["a"], line, None, "ID", 0.8, box, 0), (4, "deterministic_context", ["a"], "3524", None, "CARD_NUMBER", 0.9, box, 1),
+            (1, "ner", ["a"], "ABC123XY98", None, "ID", 0.9, box, 0), (1, "ner", ["a"], "98", None, "ID", 0.6, box, 1),
+            (2, "ner", ["a"], "X1", None, "ID", 0.9, box, 0), (2, "deterministic_context", ["a"], "X1", "No", "NUM", 0.95, box, 1),
+            (3, "ner", ["a"], "X1", None, "ID", 0.9, box, 0), (3, "ner", ["b"], "X2", None, "ID", 0.9, (20.0, 0.0, 30.0, 10.0), 1),
+            (4, "ner", ["a"], line, None, "ID", 0.8, box, 0), (4, "deterministic_context", ["a"], "3524", None, "CARD_NUMBER", 0.9, box, 1),
         ],
         schema,
     )
     got = {}
     for r in U.fuse(df, ["image_id"]).collect():
         got.setdefault(r.image_id, []).append((r.text, r.sources))
-    assert got[1] == [("ABC123XY98", ["ettin"])] and got[2] == [("X1", ["deterministic_context", "ettin"])]
-    assert len(got[3]) == 2 and got[4] == [("3524", ["deterministic_context", "ettin"])]
+    assert got[1] == [("ABC123XY98", ["ner"])] and got[2] == [("X1", ["deterministic_context", "ner"])]
+    assert len(got[3]) == 2 and got[4] == [("3524", ["deterministic_context", "ner"])]
 
 
 def test_geometry(spark):
@@ -74,6 +74,6 @@ def test_suppression(spark):
 def test_gates(spark):
     schema = f"text string, score double, box {G.BOX}, entity string, types array<string>, sources array<string>, decision string, salvaged boolean, confirmed boolean, failed boolean, ocr_text string, ocr_box {G.BOX}"
     box = (0.0, 0.0, 10.0, 10.0)
-    base = lambda text, score, b, entity="ID", **k: (text, score, b, entity, [entity], ["ettin"], k.get("decision", "fusion_fallback"), False, False, k.get("failed", False), None, None)
+    base = lambda text, score, b, entity="ID", **k: (text, score, b, entity, [entity], ["ner"], k.get("decision", "fusion_fallback"), False, False, k.get("failed", False), None, None)
     df = spark.createDataFrame([base("AB1234", 0.9, box), base("Certificate No", 0.9, box), base("AB1234", 0.1, box), base("AB1234", 0.9, None), base("AB1234", 0.6, box, failed=True), base("Ann Lee", 0.6, box, "FIRST_NAME"), base("AB1234", 0.6, box)], schema)
     assert [r.drop_gate for r in U.gates(df).collect()] == [None, 5, 6, 1, None, None, 6]

@@ -20,7 +20,7 @@ _FUSED = f"struct<n:int,confidence:double,ord:bigint,text:string,ids:array<strin
 def fuse(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each fused candidate: text, ids, label, types, sources, confidence, box.
 
-    candidates: keys, source (ettin or deterministic_context), ids, text, label, type, confidence,
+    candidates: keys, source (ner or deterministic_context), ids, text, label, type, confidence,
     box, ord. Equal text and ids merge: all sources and types, the highest confidence, the first
     label and box. Then, longest first, a text within another that shares an item (or whose box
     touches) joins it; but a deterministic value inside a model-only text of more than twice its
@@ -43,7 +43,7 @@ def fuse(candidates: DataFrame, keys: list[str]) -> DataFrame:
         at = F.array_position(F.transform(kept, lambda k: F.coalesce(inside(k), F.lit(False))), True)
 
         def join(k: Column) -> Column:
-            rescue = F.array_contains(x.sources, "deterministic_context") & F.forall(k.sources, lambda s: s == "ettin") & (F.length(k.text) > 2 * F.length(x.text))
+            rescue = F.array_contains(x.sources, "deterministic_context") & F.forall(k.sources, lambda s: s == "ner") & (F.length(k.text) > 2 * F.length(x.text))
             new = F.struct(x.n.alias("n"), F.least(x.confidence, k.confidence).alias("confidence"), x.ord.alias("ord"), x.text.alias("text"), x.ids.alias("ids"), F.coalesce(x.label, k.label).alias("label"), both(x.types, k.types).alias("types"), both(x.sources, k.sources).alias("sources"), F.coalesce(x.box, k.box).alias("box"))
             old = F.struct(k.n.alias("n"), k.confidence.alias("confidence"), k.ord.alias("ord"), k.text.alias("text"), k.ids.alias("ids"), F.coalesce(k.label, x.label).alias("label"), both(k.types, x.types).alias("types"), both(k.sources, x.sources).alias("sources"), k.box.alias("box"))
             return F.when(~shares(k), k).when(rescue, new).otherwise(old)
@@ -58,7 +58,7 @@ def fuse(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def review(fused: DataFrame, keys: list[str]) -> DataFrame:
     """fused with tier: HIGH (two sources, or 0.9), LOW (0.5 at least; the six least sure of an
     image), CAPPED (LOW beyond them) or DROPPED."""
-    dual = F.array_contains("sources", "ettin") & F.array_contains("sources", "deterministic_context")
+    dual = F.array_contains("sources", "ner") & F.array_contains("sources", "deterministic_context")
     tier = F.when(dual | (F.col("confidence") >= HIGH), "HIGH").when(F.col("confidence") >= FLOOR, "LOW").otherwise("DROPPED")
     out = fused.withColumn("tier", tier)
     nth = F.row_number().over(W.partitionBy(*keys, "tier").orderBy("confidence", "pos"))
@@ -68,7 +68,7 @@ def review(fused: DataFrame, keys: list[str]) -> DataFrame:
 def threshold(f: dict[str, Column]) -> Column:
     """The confidence that a finding needs: 0.5 if adjudicated or well supported, else 0.72."""
     names = F.exists(F.concat(F.array(F.coalesce(f["entity"], F.lit(""))), f["types"]), lambda t: F.lower(t).contains("name") | F.lower(t).contains("person"))
-    dual = F.array_contains(f["sources"], "ettin") & F.array_contains(f["sources"], "deterministic_context")
+    dual = F.array_contains(f["sources"], "ner") & F.array_contains(f["sources"], "deterministic_context")
     lenient = (f["decision"] != "fusion_fallback") | dual | names | f["salvaged"] | f["confirmed"] | f["failed"]
     return F.when(F.coalesce(lenient, F.lit(False)), FINAL).otherwise(FALLBACK)
 

@@ -143,7 +143,7 @@ def prompt(candidates: Column, text: Column) -> Column:
 def tier_path(stages: Column) -> Column:
     """Which tiers a run's stages (stage, status) reached, such as T0>T1>T2."""
     done = lambda name: F.exists(stages, lambda s: (s.stage == name) & (s.status == "done"))
-    return F.array_join(F.array_compact(F.array(F.when(done("HEURISTICS"), "T0"), F.when(done("NER"), "T1"), F.when(done("FASTVLM"), "T2"))), ">")
+    return F.array_join(F.array_compact(F.array(F.when(done("HEURISTICS"), "T0"), F.when(done("NER"), "T1"), F.when(done("REVIEW"), "T2"))), ">")
 
 
 def stage_info(info: Column, field: str) -> Column:

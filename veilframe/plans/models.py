@@ -124,7 +124,7 @@ SQL["t16_model_json"] = "SELECT event_id, CAST(json_extract_string(props, '$.k')
 
 def t19_tier_paths(spark, sf_dir):
     """Users' events as stages: how far they came."""
-    name = F.when(F.col("event_type") == "view", "HEURISTICS").when(F.col("event_type") == "click", "NER").when(F.col("event_type") == "purchase", "FASTVLM").otherwise("INIT")
+    name = F.when(F.col("event_type") == "view", "HEURISTICS").when(F.col("event_type") == "click", "NER").when(F.col("event_type") == "purchase", "REVIEW").otherwise("INIT")
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("hour")).agg(F.collect_set(F.struct(name.alias("stage"), F.lit("done").alias("status"))).alias("stages"))
     return rows.groupBy(M.tier_path(F.col("stages")).alias("path")).agg(F.count("*").alias("n"))
 
