@@ -1,6 +1,5 @@
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from veilframe.operators import actions as A
@@ -55,3 +54,27 @@ def test_code_stream(spark, tmp_path):
 def test_tool_calls(spark):
     df = spark.createDataFrame([('{"tool":"click","args":{"ref":"el_1"}}',), ("no",), ('{"tool":"fly","args":{}}',), ('{"tool":"click","args":3}',)], "t string")
     assert [r.c.problem for r in df.select(A.tool_call(F.col("t")).alias("c")).collect()] == [None, "not-json", "unknown-tool", "bad-arguments"]
+
+
+def test_answers_and_timeouts_of_streams(spark, tmp_path):
+    q, r = tmp_path / "q", tmp_path / "r"
+    late = datetime(2024, 1, 1, 2)
+    spark.createDataFrame([("a", 1, at(0)), ("b", 1, at(0)), ("z", 9, late)], "client string, id int, at timestamp").coalesce(1).write.parquet(str(q))
+    spark.createDataFrame([("a", 1, "ok", at(10)), ("b", 1, "ok", at(90)), ("z", 8, "ok", late)], "client string, id int, status string, at timestamp").coalesce(1).write.parquet(str(r))
+    requests = spark.readStream.schema("client string, id int, at timestamp").parquet(str(q))
+    responses = spark.readStream.schema("client string, id int, status string, at timestamp").parquet(str(r))
+    run = M.answered(requests, responses).writeStream.format("memory").queryName("answered").outputMode("append").start()
+    run.processAllAvailable()
+    run.stop()
+    got = {x.client: x.status for x in spark.table("answered").collect()}
+    assert got["a"] == "ok" and got.get("b", "timeout") == "timeout" and "z" not in got
+
+
+def test_distinct_requests(spark, tmp_path):
+    src = tmp_path / "d"
+    spark.createDataFrame([("a", 1, at(0)), ("a", 1, at(3)), ("b", 1, at(0))], "client string, id int, at timestamp").coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("client string, id int, at timestamp").parquet(str(src))
+    run = M.distinct_requests(stream).writeStream.format("memory").queryName("distinct_requests").outputMode("append").start()
+    run.processAllAvailable()
+    run.stop()
+    assert spark.table("distinct_requests").count() == 2

@@ -119,3 +119,53 @@ def adjudicate(fused: DataFrame, output: DataFrame, keys: list[str], allowed: tu
         .when(~F.coalesce(supported, F.lit(False)), "unsupported-text").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "bad-confidence").otherwise("valid")
     )
     return out.withColumn("status", status)
+
+
+def value_boxes(candidates: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates (keys, candidate_id, text, ids, box) with value_box: the value's part of the first
+    of their items (in the order of ids) that holds it; else the box around the items that the value
+    is made of; else their own box."""
+    it = items.select(*keys, "id", F.col("text").alias("item_text"), F.col("box").alias("item_box"))
+    rows = candidates.select(*keys, "candidate_id", "text", F.posexplode("ids").alias("veil_pos", "id")).join(it, [*keys, "id"])
+    value, line = T.candidate_key(F.col("text")), T.candidate_key(F.col("item_text"))
+    holds = (line == value) | line.contains(value) | T.flat(line).contains(T.flat(value))
+    part = F.when(line == value, F.col("item_box")).when(holds, G.sub_box(F.col("item_box"), F.col("item_text"), F.col("text")))
+    piece = (line != "") & T.flat(value).contains(T.flat(line))
+    best = rows.groupBy(*keys, "candidate_id").agg(
+        F.min_by(part, F.when(part.isNotNull(), F.col("veil_pos"))).alias("whole"), F.collect_list(F.when(piece, F.col("item_box"))).alias("pieces")
+    )
+    out = candidates.join(best, [*keys, "candidate_id"], "left")
+    made = F.when(F.size("pieces") > 0, G.union_of(F.col("pieces")))
+    return out.withColumn("value_box", F.coalesce("whole", made, "box")).drop("whole", "pieces")
+
+
+_FOUND = f"struct<n:int,score:double,ord:bigint,text:string,id:string,box:{G.BOX}>"
+
+
+def drop_contained(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings (keys, ord, source_id, text, score, box) less those within a longer one of the same
+    item or with a touching box (white space aside); of equal texts the surest stays."""
+    item = F.struct((-F.length("text")).alias("n"), (-F.col("score")).alias("score"), "ord", "text", F.col("source_id").alias("id"), F.col("box").cast(G.BOX).alias("box"))
+    lists = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("list"))
+
+    def put(kept: Column, x: Column) -> Column:
+        touch = lambda k: k.box.isNotNull() & x.box.isNotNull() & (G.intersection(k.box, x.box) > 0)
+        same = lambda k: (T.candidate_key(k.text) == T.candidate_key(x.text)) | T.contained(x.text, k.text)
+        return F.when(F.exists(kept, lambda k: F.coalesce(same(k) & ((k.id == x.id) | touch(k)), F.lit(False))), kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = lists.select(*keys, F.explode(F.aggregate("list", F.array().cast(f"array<{_FOUND}>"), put)).alias("k")).select(*keys, F.col("k.ord").alias("ord"))
+    return findings.join(kept, [*keys, "ord"], "left_semi")
+
+
+def adjudicate_or_fallback(fused: DataFrame, output: DataFrame, keys: list[str], allowed: tuple[str, ...], closed: bool = False) -> DataFrame:
+    """Final findings with decision: an image whose model output is all valid is decided by it
+    (adjudicated); any other falls back to its fused candidates, those that a valid item supports
+    marked salvaged. With `closed`, candidates of images without valid output all count as failed
+    (fail closed), which lowers the threshold they need."""
+    checked = adjudicate(fused, output, keys, allowed)
+    good = checked.groupBy(*keys).agg(F.bool_and(F.col("status") == "valid").alias("all_valid"))
+    valid = checked.where("status = 'valid'")
+    by_model = valid.join(good.where("all_valid"), keys, "left_semi").select(*keys, "candidate_id", "text", F.col("type").alias("entity"), F.col("confidence").alias("score"), F.lit("adjudicated").alias("decision"), F.lit(False).alias("salvaged"), F.lit(False).alias("failed"))
+    rest = fused.join(good.where("all_valid"), keys, "left_anti").join(valid.select(*keys, "candidate_id", F.lit(True).alias("named")), [*keys, "candidate_id"], "left")
+    by_fusion = rest.select(*keys, "candidate_id", "text", F.get("types", F.lit(0)).alias("entity"), F.col("confidence").alias("score"), F.lit("fusion_fallback").alias("decision"), F.coalesce("named", F.lit(False)).alias("salvaged"), F.lit(closed).alias("failed"))
+    return by_model.unionByName(by_fusion)

@@ -219,10 +219,79 @@ def l17_crops(spark, sf_dir):
 
 SQL["l17_crops"] = "SELECT o_orderkey, CAST(greatest(0, o_orderkey % 280 - 10) AS DOUBLE) AS x1, CAST(greatest(0, o_orderkey % 180 - 5) AS DOUBLE) AS y1, CAST(least(300, o_orderkey % 280 + 50) AS DOUBLE) AS x2, CAST(least(200, o_orderkey % 180 + 25) AS DOUBLE) AS y2 FROM orders"
 
+def j17_value_boxes(spark, sf_dir):
+    """Boxes of values detected in documents' items."""
+    from .layout import _candidates, _items_of_documents
+
+    fused = U.fuse(_candidates(spark, sf_dir), ["doc_id"])
+    out = U.value_boxes(fused, _items_of_documents(spark, sf_dir), ["doc_id"])
+    return out.select("doc_id", "candidate_id", *[F.round(f"value_box.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def u5_contained_findings(spark, sf_dir):
+    """Findings in documents' items less those that lie within others."""
+    from ..functions import spans as S
+    from .layout import _items_of_documents
+
+    items = S.once(_items_of_documents(spark, sf_dir), "d", D.all_spans(F.col("text")))
+    rows = items.select("doc_id", (F.col("ord") * 1000).alias("base"), F.col("id").alias("source_id"), "box", F.posexplode("d").alias("i", "s"))
+    found = rows.select("doc_id", (F.col("base") + F.col("i")).alias("ord"), "source_id", F.col("s.value").alias("text"), F.col("s.confidence").alias("score"), "box")
+    return U.drop_contained(found, ["doc_id"]).select("doc_id", "ord", "text")
+
+
+def l15_adjudicate_or_fallback(spark, sf_dir):
+    """Model output that is wrong for every third document: who decides, and how many findings."""
+    found = D.detect(docs(spark, sf_dir)).select("doc_id", F.posexplode("detections").alias("i", "s"))
+    fused = found.select("doc_id", F.concat(F.lit("cand_"), F.col("i").cast("string")).alias("candidate_id"), F.col("s.value").alias("text"), F.array(F.lit("a")).alias("ids"), F.array("s.type").alias("types"), F.col("s.confidence").alias("confidence"))
+    said = fused.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "cand_x").otherwise(F.col("candidate_id")).alias("candidate_id"), "ids", F.col("types")[0].alias("type"), "text", F.lit(0.9).alias("confidence"))
+    from ..functions.patterns import TIER0
+
+    out = U.adjudicate_or_fallback(fused, said, ["doc_id"], tuple(p.type for p in TIER0))
+    return out.groupBy("decision", "salvaged").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def s9_frames(spark, sf_dir):
+    """Conversations as pages: their first turn with the others as frames, system turns unreachable."""
+    from ..sources.files import frames
+
+    c = table(spark, sf_dir, "conversations")
+    kids = c.where("turn > 0").select("conv_id", F.col("turn").alias("frame_ord"), F.when(F.col("role") != "system", F.col("text")).alias("text"))
+    out = frames(c.where("turn = 0").select("conv_id", "text"), kids, ["conv_id"])
+    return out.select("conv_id", F.md5("text").alias("text_md5"), "unreachable")
+
+
+SQL["s9_frames"] = """
+SELECT conv_id, md5(string_agg(CASE WHEN turn = 0 OR role <> 'system' THEN text END, chr(10) || chr(10) ORDER BY turn)) AS text_md5, count(*) FILTER (WHERE turn > 0 AND role = 'system') AS unreachable
+FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY conv_id
+"""
+
+
+def t5_contained(spark, sf_dir):
+    """Neighbouring words of conversations of which one holds the other."""
+    words = F.split("text", r"[ \n]+")
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(pairs).alias("p"))
+    return rows.groupBy("conv_id", "turn").agg(F.count_if(T.contained(F.col("p.a"), F.col("p.b"))).alias("n_contained"))
+
+
+SQL["t5_contained"] = r"""
+WITH w AS (SELECT conv_id, turn, regexp_split_to_array(text, '[ \n]+') AS w FROM conversations), p AS (SELECT conv_id, turn, lower(w[i]) AS a, lower(w[i + 1]) AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w))
+SELECT conv_id, turn, count(*) FILTER (WHERE a <> '' AND b <> '' AND a <> b AND contains(b, a)) AS n_contained FROM p GROUP BY conv_id, turn
+"""
+
+
+def u7_distinct_sentences(spark, sf_dir):
+    """Sentences of conversations, each once whatever its case."""
+    parts = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda p: p != "")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n"), F.size(F.array_distinct(F.transform(parts, F.lower))).cast("long").alias("n_distinct"))
+    return rows
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
         l13_token_offsets, a17_word_entities, a16_adjacent_entities, t17_bio_labels, l14_token_labels, s3_read_items, l22_faces, r5_redact_chunks, r6_regions, t15_safe_captions, t16_model_json,
-        t19_tier_paths, t20_prompts, t21_stage_info, s1_data_urls, s17_evidence, j5_global_spans, j15_adjudicate, j21_verdicts, j22_references, l17_crops,
+        t19_tier_paths, t20_prompts, t21_stage_info, s1_data_urls, s17_evidence, j5_global_spans, j15_adjudicate, j21_verdicts, j22_references, l17_crops, j17_value_boxes, u5_contained_findings, l15_adjudicate_or_fallback,
+        s9_frames, t5_contained, u7_distinct_sentences,
     )
 }
