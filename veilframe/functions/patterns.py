@@ -40,7 +40,7 @@ def _lab(id_: str, type_: str, label: str, sep: str, value: str, hint: str, fold
     """A value behind a label that stays outside of the span."""
     i = "(?i)" if fold else ""
     bounded = label.replace(r"\s*", _S).replace(r"\s+", r"\s{1,8}")
-    return Pattern(id_, type_, rf"{i}(?<=\b(?:{bounded}){_S}{sep}{_S}){value}{end}", rf"{i}\b(?:{label})\s*{sep}\s*({value}){end}", 0, hint, first=rf"{i}(?:{bounded}){_S}{sep}{_S}{value}")
+    return Pattern(id_, type_, rf"{i}(?<=\b(?:{bounded}){_S}{sep}{_S}){value}{end}", rf"{i}\b(?:{label})\s*{sep}\s*({value}){end}", 0, hint, first=rf"{i}(?<![A-Za-z0-9_])(?:{bounded}){_S}{sep}{_S}{value}")
 
 
 # The thirty detectors, in the order that breaks ties of overlapping matches.
