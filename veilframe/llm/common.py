@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 #: A slice that a Python function sees at once holds at most so many rows and bytes of text
 #: (and one row at least).
-SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
 
 #: Bytes of an Arrow batch between Spark and Python at most: each task holds several in memory
 #: outside the heap, rounded up to powers of two.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 #: What an operator keeps in a Python worker between its tasks. Spark reuses workers, so the next
@@ -32,13 +32,17 @@ CACHE: dict[str, object] = {}
 
 
 def let_go(keep: str | None) -> None:
-    gone = [k for k in CACHE if k != keep]
-    if gone:
+    if gone := [k for k in CACHE if k != keep]:
         for k in gone:
             del CACHE[k]
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # give the memory back
+
+
+def give_back() -> None:
+    """Return what a task no longer needs to the system: idle workers share memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +166,8 @@ def map_text(
                 out = work(part.column(at).to_pylist())
                 cols = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in kept_at] + cols, names=names)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 
