@@ -107,6 +107,35 @@ def test_one_of_each_group(spark, docs):
     assert S.one_of_each_group(table.limit(0)).count() == 0
 
 
+def test_no_near_copies_by_added_passages_stay(spark, docs):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(300)]
+    texts = []
+    for i in range(30):
+        base = [rng.choice(words) for _ in range(200)]
+        more = [rng.choice(words) for _ in range(20 + i)]
+        at = rng.randint(0, 200)
+        texts += [" ".join(base), " ".join(base[:at] + more + base[at:])]
+    sets = [S.shingle_set(t) for t in texts]
+    kept = {r.doc_id for r in S.one_of_each_group(docs(*texts)).collect()}
+    assert all(S.jaccard(sets[i], sets[j]) < 0.8 for i in kept for j in kept if i < j)
+    assert all(any(S.jaccard(sets[i], sets[j]) >= 0.8 for j in kept) for i in range(len(texts)) if i not in kept)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(4)
+    none = (S.np.empty(0, dtype=S.np.uint64), S.np.empty(0, dtype=S.np.int64))
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), rng.randint(1, n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 5))}
+        hashes = [S.np.array(sorted(x), dtype=S.np.uint64) for x in (a, b)]
+        some = S.np.array(sorted(rng.sample(sorted(a | b), len(a | b) // 2)), dtype=S.np.uint64)
+        for common in (none, (some, S.np.array([rng.randint(3, 9) for _ in some], dtype=S.np.int64))):
+            p, q = (set(S.prefix(h, common, 0.8).tolist()) for h in hashes)
+            assert S.jaccard(a, b) < 0.8 or p & q
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
