@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,6 +123,26 @@ def test_no_near_copies_by_added_passages_stay(spark, docs):
     assert all(any(S.jaccard(sets[i], sets[j]) >= 0.8 for j in kept) for i in range(len(texts)) if i not in kept)
 
 
+@pytest.mark.parametrize("few, heads", [(16, 4), (2, 1)])
+def test_groups_that_share_words_lose_all_near_copies(spark, docs, monkeypatch, few, heads):
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "HEADS", heads)
+    rng = random.Random(12)
+    words, texts = [f"w{i}" for i in range(150)], []
+    shared = [f"s{i}" for i in range(12)]
+    for _ in range(7):  # the same words in other orders
+        base = rng.sample(words, len(words)) + shared
+        texts += [" ".join(base)] + [" ".join(base[:i] + ["other"] + base[i:]) for i in (10, 60, 110)]
+    chain = [f"c{i}" for i in range(120)]  # each near the next only
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 60, 5)]
+    sets = [S.shingle_set(t) for t in texts]
+    want = []
+    for i, x in enumerate(sets):
+        if not any(S.jaccard(x, sets[j]) >= 0.8 for j in want):
+            want.append(i)
+    assert sorted(r.doc_id for r in S.one_of_each_group(docs(*texts)).collect()) == want
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = random.Random(4)
     none = (S.np.empty(0, dtype=S.np.uint64), S.np.empty(0, dtype=S.np.int64))

@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,8 +182,10 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-#: For one_of_each_group(): rounds of verification.
-ROUNDS = 3
+#: For one_of_each_group(): texts that share a shingle of their prefixes are all compared if they
+#: are so few; of more, the first HEADS are compared with all of them. Both are four times as many
+#: in each further round: first groups of copies shrink, then the rest is compared in few rounds.
+FEW, HEADS = 16, 4
 #: How common a shingle is, is counted on one text in SAMPLE, for COMMON shingles at most that
 #: three texts of the sample have. It decides the order of prefixes: on speed, not on results.
 SAMPLE, COMMON = 8, 1 << 18
@@ -202,16 +205,79 @@ def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     return h[order], n[order]
 
 
-def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, rounds: int = ROUNDS) -> DataFrame:
+def _likeness(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """pairs (a, b) of names (u) of texts, with their likeness."""
+
+    def compare():
+        last: list = [None, None]
+
+        def work(both):
+            out = []
+            for pair in both:
+                if last[0] != pair["kept"]:
+                    last[:] = [pair["kept"], shingle_set(pair["kept"], shingle)]
+                out.append(jaccard(last[1], shingle_set(pair["text"], shingle)))
+            return [out]
+
+        return work
+
+    some = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi")
+    some = materialise(some.groupBy("u").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(some.select(F.col("u").alias("a"), F.col("text").alias("kept")), "a").join(some.select(F.col("u").alias("b"), "text"), "b")
+    return map_struct(both.select("a", "b", F.struct("text", "kept").alias("pair")), "pair", [T.StructField("likeness", T.DoubleType())], compare).drop("pair")
+
+
+def _decided(posts: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The names (u) of texts that go. posts: a row (u, rank, n, pos, token) for each shingle of a
+    text's prefix; rank decides who stays, n is the text's number of shingles."""
+    token = W.partitionBy("token")
+    gone = posts.select("u").limit(0)
+    similar = compared = None
+    few, heads = FEW, HEADS
+    while True:
+        posts = posts.withColumn("size", F.count("*").over(token)).where("size > 1").withColumn("at", F.row_number().over(token.orderBy("rank")))
+        posts = materialise(posts.withColumn("head", (F.col("size") <= few) | (F.col("at") <= heads)), "posts")
+        if posts.isEmpty():
+            return gone
+        # what two prefixes can share from here on bounds the likeness
+        rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
+        alike = rest * (1 + similarity) >= (F.col("l.n") + F.col("r.n")) * similarity - 1e-6
+        pairs = posts.where("head").alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.at") < F.col("r.at")) & alike)
+        pairs = pairs.select(F.col("l.u").alias("a"), F.col("r.u").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        judged = materialise(_likeness(materialise(pairs, "pairs"), texts, shingle), "judged")
+        compared = judged.select("a", "b") if compared is None else compared.union(judged.select("a", "b"))
+        now = judged.where(F.col("likeness") >= similarity).select("a", "b")
+        # only a text that was compared with all others of its shingles can be said to stay
+        ready = materialise(posts.groupBy("u").agg(F.min("head").alias("ready")), "ready")
+        similar = (now if similar is None else similar.drop("ready").union(now)).join(ready.select(F.col("u").alias("a"), "ready"), "a")
+        similar = materialise(similar, "similar")
+        left = posts.select("u").limit(0)
+        while True:
+            stay = similar.where("ready").join(similar.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+            found = materialise(stay.select(F.col("b").alias("u")).distinct(), "gone")
+            if found.isEmpty():
+                break
+            gone, left = gone.union(found), left.union(found)
+            similar = materialise(similar.join(found, similar.a == found.u, "left_anti").join(found, F.col("b") == found.u, "left_anti"), "similar")
+        open_ = similar.select(F.col("b").alias("u")).distinct()
+        done = ready.where("ready").select("u").join(open_, "u", "left_anti").union(left)
+        posts = posts.join(materialise(done, "done"), "u", "left_anti").drop("size", "at", "head")
+        few, heads = 4 * few, 4 * heads
+
+
+def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs (with doc_id and text) less near copies: texts of a Jaccard similarity of `similarity`
     or more over `shingle`-word shingles.
 
     Candidates come from an exact prefix filter: with all shingles in one order (rare ones first),
     texts of n shingles that are so similar have one in common among their first
-    n - ceil(similarity * n) + 1. Components of texts with such a shingle in common are candidate
-    groups. In a group the smallest id stays; texts as similar to its text as asked go. The others
-    try again among themselves, `rounds` times in all; what is left then stays. So nothing goes
-    that was not compared with a text that stays.
+    n - ceil(similarity * n) + 1. All candidates are compared, in the order of ids: a text stays if
+    none before it that stays is as similar to it, and goes otherwise. So nothing goes that was not
+    compared with a text that stays, and no two texts that stay are so similar. A shingle that
+    many prefixes have is taken in rounds: its first texts are compared with all the others, those
+    decided leave, until none is left.
 
     Of equal texts (null counts as empty) the smallest id stays; null ids stay only where a text
     has no other; rows equal in id and text count once. Other columns stay.
@@ -232,40 +298,10 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     marked = map_text(keyed, "text", [T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))], make).drop("text")
     marked = materialise(marked, "marked")
     classes = materialise(marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    posts = classes.select("k", F.explode("tokens").alias("token"))
-    tops = posts.groupBy("token").agg(F.min("k").alias("top"), F.max("k").alias("last")).where("top <> last")
-    groups = components(posts.join(tops, "token").where("k <> top").select(F.col("k").alias("a"), F.col("top").alias("b")))
-    # members of groups, one row a class; the order decides who stays
-    members = classes.join(groups, classes.k == groups.node).select("k", "l", "first", "component")
-    pending = materialise(members, "members")
-    texts = materialise(keyed.join(classes.select("k", "l", "first"), ["k", "l"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).join(pending.select("k", "l"), ["k", "l"], "left_semi").groupBy("k", "l").agg(F.first("text").alias("text")), "member-texts")
-    gone = None
-
-    def compare():
-        last: list = [None, None]
-
-        def work(both):
-            out = []
-            for pair in both:
-                if last[0] != pair["kept"]:
-                    last[:] = [pair["kept"], shingle_set(pair["kept"], shingle)]
-                out.append(jaccard(last[1], shingle_set(pair["text"], shingle)))
-            return [out]
-
-        return work
-
-    for _ in range(rounds):
-        order = F.struct(F.col("first").isNull(), "first", "k", "l")
-        heads = pending.groupBy("component").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("component", F.col("head.k").alias("hk"), F.col("head.l").alias("hl"))
-        rest = pending.join(heads, "component").where((F.col("k") != F.col("hk")) | (F.col("l") != F.col("hl")))
-        kept_text = heads.join(texts.select(F.col("k").alias("hk"), F.col("l").alias("hl"), F.col("text").alias("kept")), ["hk", "hl"]).select("component", "kept")
-        both = rest.join(texts, ["k", "l"]).join(kept_text, "component").select("k", "l", "first", "component", F.struct("text", "kept").alias("pair"))
-        judged = materialise(map_struct(both, "pair", [T.StructField("likeness", T.DoubleType())], compare).drop("pair"), "judged")
-        found = judged.where(F.col("likeness") >= similarity).select("k", "l")
-        gone = found if gone is None else gone.union(found)
-        pending = judged.where(F.col("likeness") < similarity).select("k", "l", "first", "component")
-        if pending.isEmpty():
-            break
+    first = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "k", "l")
+    posts = classes.select(F.struct("k", "l").alias("u"), first.alias("rank"), "n", F.posexplode("tokens").alias("pos", "token"))
+    texts = keyed.join(classes.select("k", "l", "first"), ["k", "l"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).select(F.struct("k", "l").alias("u"), "text")
+    gone = _decided(posts, texts, similarity, shingle).select("u.k", "u.l")
     names = [free_name(docs, "veil_k"), free_name(docs, "veil_l")]
     out = docs.select(*docs.columns, F.xxhash64(whole).alias(names[0]), F.xxhash64(whole, F.lit(1)).alias(names[1]))
     stays = classes.join(gone, ["k", "l"], "left_anti").select(F.col("k").alias(names[0]), F.col("l").alias(names[1]), F.col("first").alias("veil_first"))
