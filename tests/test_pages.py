@@ -47,3 +47,13 @@ def test_table_header_and_select(spark):
 def test_forced_placeholder(spark):
     df = spark.createDataFrame([("input-type-password", ""), ("autocomplete-cc-number", ""), ("label", "OTP"), ("label", "")], "r string, t string")
     assert [x[0] for x in df.select(P.forced_placeholder(F.col("r"), F.col("t"))).collect()] == ["<PASSWORD>", "<CARD_NUMBER>", "<OTP>", "<FORM_SECRET>"]
+
+
+def test_deep_pages_keep_all_segments():
+    inner = '<input value="one" title="a"><input value="two" title="b">'
+    deep = "<div>" * 30 + inner + "</div>" * 30
+    segs = page_segments(deep)
+    assert [s["text"] for s in segs] == ["one", "a", "two", "b"]
+    paths = [s["dom_path"].split("/") for s in segs]
+    assert all(len(p) == 24 for p in paths) and [p[-1] for p in paths] == ["input[1]", "input[1]", "input[2]", "input[2]"]
+    assert [s["text"] for s in page_segments(deep + deep)] == ["one", "a", "two", "b"] * 2

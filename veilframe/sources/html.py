@@ -105,7 +105,7 @@ class _Walker(HTMLParser):
         up.children[tag] = up.children.get(tag, 0) + 1
         parts = (up.path.split("/") if up.path else []) + [f"{tag}[{up.children[tag]}]"]
         hidden = up.hidden or tag in IGNORED or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
-        node = _Node(tag, attrs, "/".join(parts[:DEPTH]), hidden)
+        node = _Node(tag, attrs, "/".join(parts[-DEPTH:]), hidden)
         if tag in ("td", "th"):
             row = next((n for n in reversed(self.stack) if n.tag == "tr"), None)
             node.table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
@@ -182,16 +182,8 @@ class _Walker(HTMLParser):
             elif node.attrs.get("aria-labelledby"):
                 texts = [t for i in node.attrs["aria-labelledby"].split() for t in self.by_id.get(i, [])]
                 seg["hint"]["label_text"] = " ".join(texts) or None
-        seen, out = set(), []
-        for seg in self.segments:
-            key = (seg["tag"], seg["kind"], seg["attr"], seg["dom_path"])
-            if seg["kind"] == "form_value" and not seg["text"]:
-                continue
-            if seg["kind"] != "text" and key in seen:
-                continue
-            seen.add(key)
-            out.append(seg)
-        return out
+        # an element gives each of its segments once, so none is there twice
+        return [seg for seg in self.segments if seg["kind"] != "form_value" or seg["text"]]
 
 
 def page_segments(html: str | None) -> list[dict]:
