@@ -99,6 +99,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def hot_keys(spark: SparkSession) -> int:
+    """How many keys join_one() broadcasts: four for each shuffle partition, whatever the data."""
+    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], n: str, how: str = "inner", several: bool = False) -> DataFrame:
+    """rows joined on `keys` (no nulls) with `one`, which says in column `n` how many of rows have
+    the key; how is inner or left. `one` is best written before; its rows are narrow and have
+    distinct keys, unless there are `several` (few) of a key.
+
+    The rows of the hot_keys() commonest keys are joined by a broadcast. All others are joined by a
+    shuffle, in which no key has more than one in hot_keys() of all rows. rows is read twice.
+    """
+    named = one.select(*keys, n)
+    named = (named.dropDuplicates(keys) if several else named).orderBy(F.desc(n), *keys).limit(hot_keys(rows.sparkSession))
+    named = materialise(named.select(*keys), "hot")
+    hot = one.join(F.broadcast(named), keys, "left_semi")
+    rest = rows.join(F.broadcast(named), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(one, keys, how))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -138,7 +159,7 @@ def map_text(
     array) per field. A column of df whose name is that of a field is replaced. `cache` names the
     operator's entry of CACHE, if it has one.
     """
-    conf = df.sparkSession.conf
+    conf = df.sparkSession.conf  # read when the plan runs, so the smaller bound has to stay set
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     new = {f.name.lower() for f in fields}
@@ -182,7 +203,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Dat
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never taken. Repeated labels
     of a document count once (the largest); null labels and ids do not count. The ids are at most
-    2 x most, so that the broadcast is bounded by that parameter.
+    2 x most, so that the broadcast is bounded by that parameter. Of repeated rows of a document
+    the smallest text (null counts as empty) is taken.
     """
     of = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -193,7 +215,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Dat
     )
     both = [of.where(F.col("y") == y).orderBy("deal", "doc_id").limit(most) for y in (0, 1)]
     ids = both[0].union(both[1]).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def held_out(doc_id: str = "doc_id"):

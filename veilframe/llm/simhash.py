@@ -21,11 +21,10 @@ from itertools import combinations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, free_name, map_struct, map_text, materialise, spread
+from .common import components, discard, free_name, join_one, map_struct, map_text, materialise, spread
 
 HOT_BUCKET = 24
 
@@ -137,12 +136,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     marked = with_fingerprint(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "text", "fp", shingle)
     marked = materialise(marked.select("doc_id", "fp"), "fingerprints")
-    firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     parts = materialise(components(links(firsts.select(F.lit(0).alias("seed"), "fp"), radius).select("a", "b")), "components")
     named = parts.join(firsts, parts.node == firsts.fp).select("node", "component", "first")
     named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("node").alias("fp"), "component_id")
-    of = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = firsts.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"))
+    return join_one(marked, materialise(of, "of"), ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -183,9 +182,11 @@ def jaccard(a: set, b: set) -> float:
 
 
 #: For one_of_each_group(): texts that share a shingle of their prefixes are all compared if they
-#: are so few; of more, the first HEADS are compared with all of them. Both are four times as many
-#: in each further round: first groups of copies shrink, then the rest is compared in few rounds.
+#: are so few; of more, HEADS of them, the first among them, are compared with all. Both are four
+#: times as many in each further round: first groups of copies shrink, then the rest is compared.
 FEW, HEADS = 16, 4
+#: Pairs of one text that go to one task.
+SALT_PAIRS = 500
 #: How common a shingle is, is counted on one text in SAMPLE, for COMMON shingles at most that
 #: three texts of the sample have. It decides the order of prefixes: on speed, not on results.
 SAMPLE, COMMON = 8, 1 << 18
@@ -206,7 +207,8 @@ def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def _likeness(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """pairs (a, b) of names (u) of texts, with their likeness."""
+    """pairs (a, b) of names (c) of texts, with their likeness. A text with many pairs is given
+    to as many tasks as it takes: SALT_PAIRS pairs each."""
 
     def compare():
         last: list = [None, None]
@@ -221,49 +223,62 @@ def _likeness(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
         return work
 
-    some = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi")
-    some = materialise(some.groupBy("u").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(some.select(F.col("u").alias("a"), F.col("text").alias("kept")), "a").join(some.select(F.col("u").alias("b"), "text"), "b")
+    of_a = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_PAIRS).cast("int")), "pair-counts")
+    salted = join_one(pairs, of_a, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    kept = texts.join(of_a.select(F.col("a").alias("c"), "salts"), "c").select(F.col("c").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("kept"))
+    both = salted.join(texts.select(F.col("c").alias("b"), "text"), "b").join(kept, ["a", "salt"])
     return map_struct(both.select("a", "b", F.struct("text", "kept").alias("pair")), "pair", [T.StructField("likeness", T.DoubleType())], compare).drop("pair")
 
 
-def _decided(posts: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The names (u) of texts that go. posts: a row (u, rank, n, pos, token) for each shingle of a
-    text's prefix; rank decides who stays, n is the text's number of shingles."""
-    token = W.partitionBy("token")
-    gone = posts.select("u").limit(0)
-    similar = compared = None
+def _decided(posts: DataFrame, fetch, similarity: float, shingle: int) -> DataFrame:
+    """The names (c) of texts that go. posts: a row (c, n, pos, token) for each shingle of a text's
+    prefix; names are numbers in the order of who stays, n is the text's number of shingles. fetch
+    gives (c, text) for a table of names."""
+    gone = posts.select("c").limit(0)
+    similar = compared = texts = None
     few, heads = FEW, HEADS
     while True:
-        posts = posts.withColumn("size", F.count("*").over(token)).where("size > 1").withColumn("at", F.row_number().over(token.orderBy("rank")))
-        posts = materialise(posts.withColumn("head", (F.col("size") <= few) | (F.col("at") <= heads)), "posts")
+        before = materialise(posts, "posts")
+        sizes = materialise(before.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        posts = materialise(join_one(before, sizes, ["token"], "size"), "posts")
+        discard(before)
+        discard(sizes)
         if posts.isEmpty():
             return gone
-        # what two prefixes can share from here on bounds the likeness
-        rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
-        alike = rest * (1 + similarity) >= (F.col("l.n") + F.col("r.n")) * similarity - 1e-6
-        pairs = posts.where("head").alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.at") < F.col("r.at")) & alike)
-        pairs = pairs.select(F.col("l.u").alias("a"), F.col("r.u").alias("b")).distinct()
+        if texts is None:
+            texts = materialise(fetch(posts.select("c").distinct()), "texts")
+        # of a large group the least name of each of `heads` parts: a partial aggregation
+        large = posts.where(F.col("size") > few)
+        tops = large.groupBy("token", "size", F.pmod(F.xxhash64("c"), F.lit(heads)).alias("part")).agg(F.min(F.struct("c", "n", "pos")).alias("t"))
+        tops = materialise(tops.select("token", "size", F.col("t.c").alias("tc"), F.col("t.n").alias("tn"), F.col("t.pos").alias("tpos")), "heads")
+        alike = lambda n, pos, m, at: F.least(n - pos, m - at) * (1 + similarity) >= (n + m) * similarity - 1e-6  # noqa: E731  what two prefixes can share from here on bounds the likeness
+        small = posts.where(F.col("size") <= few)
+        left, right = small.alias("l"), small.alias("r")
+        pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.c") < F.col("r.c")) & alike(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"))).select(F.col("l.c").alias("a"), F.col("r.c").alias("b"))
+        headed = join_one(large.drop("size"), tops, ["token"], "size", several=True).where((F.col("c") != F.col("tc")) & alike(F.col("n"), F.col("pos"), F.col("tn"), F.col("tpos")))
+        pairs = pairs.union(headed.select(F.least("c", "tc"), F.greatest("c", "tc"))).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         judged = materialise(_likeness(materialise(pairs, "pairs"), texts, shingle), "judged")
         compared = judged.select("a", "b") if compared is None else compared.union(judged.select("a", "b"))
         now = judged.where(F.col("likeness") >= similarity).select("a", "b")
         # only a text that was compared with all others of its shingles can be said to stay
-        ready = materialise(posts.groupBy("u").agg(F.min("head").alias("ready")), "ready")
-        similar = (now if similar is None else similar.drop("ready").union(now)).join(ready.select(F.col("u").alias("a"), "ready"), "a")
+        first = tops.groupBy(F.col("tc").alias("c")).agg(F.count("*").alias("m"))
+        ready = posts.groupBy("c").agg(F.count_if(F.col("size") > few).alias("k")).join(first, "c", "left")
+        ready = materialise(ready.select("c", (F.col("k") == F.coalesce("m", F.lit(0))).alias("ready")), "ready")
+        similar = (now if similar is None else similar.drop("ready").union(now)).join(ready.select(F.col("c").alias("a"), "ready"), "a")
         similar = materialise(similar, "similar")
-        left = posts.select("u").limit(0)
+        left_now = posts.select("c").limit(0)
         while True:
             stay = similar.where("ready").join(similar.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-            found = materialise(stay.select(F.col("b").alias("u")).distinct(), "gone")
+            found = materialise(stay.select(F.col("b").alias("c")).distinct(), "gone")
             if found.isEmpty():
                 break
-            gone, left = gone.union(found), left.union(found)
-            similar = materialise(similar.join(found, similar.a == found.u, "left_anti").join(found, F.col("b") == found.u, "left_anti"), "similar")
-        open_ = similar.select(F.col("b").alias("u")).distinct()
-        done = ready.where("ready").select("u").join(open_, "u", "left_anti").union(left)
-        posts = posts.join(materialise(done, "done"), "u", "left_anti").drop("size", "at", "head")
+            gone, left_now = gone.union(found), left_now.union(found)
+            similar = materialise(similar.join(found, similar.a == found.c, "left_anti").join(found, F.col("b") == found.c, "left_anti"), "similar")
+        open_ = similar.select(F.col("b").alias("c")).distinct()
+        done = ready.where("ready").select("c").join(open_, "c", "left_anti").union(left_now)
+        posts = posts.join(materialise(done, "done"), "c", "left_anti").drop("size")
         few, heads = 4 * few, 4 * heads
 
 
@@ -276,13 +291,13 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     n - ceil(similarity * n) + 1. All candidates are compared, in the order of ids: a text stays if
     none before it that stays is as similar to it, and goes otherwise. So nothing goes that was not
     compared with a text that stays, and no two texts that stay are so similar. A shingle that
-    many prefixes have is taken in rounds: its first texts are compared with all the others, those
+    many prefixes have is taken in rounds: some of its texts are compared with all the others, those
     decided leave, until none is left.
 
     Of equal texts (null counts as empty) the smallest id stays; null ids stay only where a text
-    has no other; rows equal in id and text count once. Other columns stay.
+    has no other; rows equal in id and text count once. Other columns stay. An empty table stays
+    empty.
     """
-    spark = docs.sparkSession
     whole = F.coalesce(F.col("text"), F.lit(""))
     keyed = spread(docs.select("doc_id", whole.alias("text"))).select("doc_id", "text", F.xxhash64("text").alias("k"), F.xxhash64("text", F.lit(1)).alias("l"))
 
@@ -296,22 +311,31 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         return work
 
     marked = map_text(keyed, "text", [T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))], make).drop("text")
-    marked = materialise(marked, "marked")
-    classes = materialise(marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    first = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "k", "l")
-    posts = classes.select(F.struct("k", "l").alias("u"), first.alias("rank"), "n", F.posexplode("tokens").alias("pos", "token"))
-    texts = keyed.join(classes.select("k", "l", "first"), ["k", "l"]).where(F.col("doc_id").eqNullSafe(F.col("first"))).select(F.struct("k", "l").alias("u"), "text")
-    gone = _decided(posts, texts, similarity, shingle).select("u.k", "u.l")
-    names = [free_name(docs, "veil_k"), free_name(docs, "veil_l")]
-    out = docs.select(*docs.columns, F.xxhash64(whole).alias(names[0]), F.xxhash64(whole, F.lit(1)).alias(names[1]))
-    stays = classes.join(gone, ["k", "l"], "left_anti").select(F.col("k").alias(names[0]), F.col("l").alias(names[1]), F.col("first").alias("veil_first"))
-    out = out.join(stays, names).where(F.col("doc_id").eqNullSafe(F.col("veil_first")))
-    if not marked.groupBy("doc_id", "k", "l").count().where("count > 1").isEmpty():  # rows equal in id and text
-        out = out.dropDuplicates(["doc_id", *names])
+    # copies on the way to one task are added up first
+    classes = marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    classes = materialise(classes, "classes")
+    # numbers in the order of ids, as names that are short and sort alike
+    order = [F.col("first").isNull(), F.col("first"), F.col("k"), F.col("l")]
+    names = materialise(classes.select("k", "l", "first", "copies").orderBy(*order).withColumn("c", F.monotonically_increasing_id()), "names")
+    posts = classes.join(names.select("k", "l", "c"), ["k", "l"]).select("c", "n", F.posexplode("tokens").alias("pos", "token"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        some = materialise(names.join(wanted, "c", "left_semi"), "wanted")
+        found = join_one(keyed, some, ["k", "l"], "copies").where(F.col("doc_id").eqNullSafe(F.col("first")))
+        return found.select("c", "text")
+
+    gone = _decided(posts, fetch, similarity, shingle)
+    own = [free_name(docs, n) for n in ("veil_k", "veil_l", "veil_first", "veil_copies")]
+    stays = names.join(gone, "c", "left_anti").select(*[F.col(x).alias(y) for x, y in zip(("k", "l", "first", "copies"), own, strict=True)])
+    out = docs.select(*docs.columns, F.xxhash64(whole).alias(own[0]), F.xxhash64(whole, F.lit(1)).alias(own[1]))
+    out = join_one(out, materialise(stays, "stays"), own[:2], own[3]).where(F.col("doc_id").eqNullSafe(F.col(own[2])))
+    if not keyed.groupBy("doc_id", "k", "l").count().where("count > 1").isEmpty():  # rows equal in id and text
+        out = out.dropDuplicates(["doc_id", *own[:2]])
     return out.select(docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
     from .common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
