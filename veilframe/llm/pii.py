@@ -1,14 +1,17 @@
 """PII: pattern spans and terms that disclose them. DataFrame operations only.
 
 Base spans are matches of fixed patterns with checks of their digits. Beside them, information
-theory finds terms that reveal protected entities (the distinct base values): over the whole
-corpus, n(e) documents hold entity e, n(t) hold term t, and n(e, t) hold t near e, out of N. With
-the information content IC(e) = log2(N / n(e)) and PMI(e; t) = log2(n(e, t) N / (n(e) n(t))), a term
-discloses the share PMI / IC of what there is to know about e. Terms near e in SUPPORT different
-texts at least whose share exceeds GENERALISE are spans, too, wherever they stand; sanitising
-replaces them by a general class, and removes them where the share exceeds REMOVE.
-
-A term is considered within CONTEXT characters of an entity, so that pairs grow with the entities.
+theory finds terms that reveal protected entities. An entity is what a base span stands for, at
+four levels: any personal data, its kind, its part (the address's domain, the network, the card's
+issuer, the phone's country and area), and its value. Over the whole corpus, n(e) documents hold
+entity e, n(t) hold term t anywhere in their text, and n(e, t) hold both, out of N. With the
+information content IC(e) = log2(N / n(e)) and, smoothed, PMI(e; t) = log2(P(e | t) N / n(e)),
+P(e | t) = n(e, t) / (n(t) + SMOOTHING), a term discloses the share PMI / IC of what there is to know
+about e. A pair that fewer than SUPPORT different texts have is no estimate. Terms whose share
+exceeds GENERALISE for any entity are spans, too, wherever they stand; sanitising replaces them by a
+general class, and removes them where the share exceeds REMOVE.
+
+Documents count as often as they occur, for support equal texts count once.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, free_name, join_one, materialise, table
 
 # The base patterns, each written so that a failing start is left at once (possessive
 # loops; a start inside a run only where the last match ended) and long runs take no stack. Cards
@@ -32,9 +35,10 @@ PATTERNS = {
 }
 _BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.9, 0.999
-#: Terms are lower-cased runs of at least this many letters or digits, and not numbers only.
-TERM_LENGTH = 4
+SUPPORT, SMOOTHING, GENERALISE, REMOVE = 3, 1, 0.85, 0.95
+#: Up to so many disclosing terms are looked up in a set within the expression, without a join.
+SET_TERMS = 10_000
+#: Terms are lower-cased runs of letters or digits outside addresses, and not of ASCII digits only.
 _GAP = r"[^\p{L}\p{N}]+"
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
@@ -85,99 +89,122 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _canonical(span: Column) -> Column:
-    return F.when(span.kind.isin("card", "phone"), _digits(span.value)).otherwise(F.lower(span.value))
+def _entities(span: Column) -> Column:
+    """The entities that a span stands for, as an array of names, from "any" to its value."""
+    digits = _digits(span.value)
+    value = F.when(span.kind.isin("card", "phone"), digits).otherwise(F.lower(span.value))
+    part = F.when(span.kind == "email", F.substring_index(value, "@", -1)).when(span.kind == "ip", F.substring_index(value, ".", 2)).when(span.kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(F.lit("any"), span.kind, F.concat(span.kind, F.lit(":"), part), F.concat(span.kind, F.lit("="), value))
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), _GAP), lambda t: (F.length(t) >= TERM_LENGTH) & ~t.rlike("^[0-9]+$")))
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.filter(F.split(F.lower(plain), _GAP), lambda t: F.translate(t, "0123456789", "") != ""))
 
 
 def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(text, F.lit(1)).alias("y"))
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """((term, share), (key, term)): terms that disclose an entity, with the largest share, and in
-    which texts (by key) they stand."""
+def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
+    """(term, share): terms that disclose an entity, with the largest share."""
     texts = docs.where("text is not null and text <> ''").select("text")
     found = texts.select("text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     found = found.select("text", F.concat(*KINDS).alias("spans")).where(F.size("spans") > 0)
-    around = lambda s: F.concat_ws(  # noqa: E731  whole words only: a cut first or last word goes with its piece
-        " ",
-        F.regexp_replace(F.call_function("substring", F.col("text"), F.greatest(F.lit(1), s.start + 1 - CONTEXT), F.least(s.start, F.lit(CONTEXT))), F.when(s.start > CONTEXT, F.lit(r"^[\p{L}\p{N}]+")).otherwise(F.lit("^$")), F.lit("")),
-        F.regexp_replace(F.call_function("substring", F.col("text"), s.end + 1, F.lit(CONTEXT)), F.when(F.length("text") > s.end + CONTEXT, F.lit(r"[\p{L}\p{N}]+$")).otherwise(F.lit("^$")), F.lit("")),
-    )
-    near = found.select(_key(F.col("text")).alias("key"), F.explode(F.transform("spans", lambda s: F.struct(s.kind.alias("kind"), _canonical(s).alias("value"), _terms(around(s)).alias("terms")))).alias("e"))
-    near = materialise(near.select("key", "e.kind", "e.value", "e.terms"), "contexts")
-    total = texts.count()
-    # rows count as documents: equal texts weigh as often as they occur, support needs other texts
-    held = near.groupBy("kind", "value", "key").agg(F.count("*").alias("k"))
-    copies = texts.groupBy(_key(F.col("text")).alias("key")).agg(F.count("*").alias("copies"))
-    copies = materialise(copies.join(near.select("key").distinct(), "key", "left_semi"), "copies")
-    held = held.join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    pairs = near.join(held, ["kind", "value"]).select("kind", "value", "n_e", "key", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.join(copies, "key").groupBy("kind", "value", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    # a term stands in at least as many texts as have it near any entity, which bounds its share
-    known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    told_by = lambda n: F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col(n))) / known
-    anywhere = near.select("key", F.explode("terms").alias("term")).distinct().join(copies, "key").groupBy("term").agg(F.sum("copies").alias("n_near"))
-    pairs = pairs.where(known > 0).join(anywhere, "term").where(told_by("n_near") > share)
-    pairs = materialise(pairs.select("kind", "value", "n_e", "term", "n_et"), "pairs")
-    wanted = materialise(pairs.select("term").distinct(), "terms")
-    stands = texts.select(_key(F.col("text")).alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term")
-    stands = materialise(stands.groupBy("term", "key").agg(F.count("*").alias("n")), "stands")
-    n_t = stands.groupBy("term").agg(F.sum("n").alias("n_t"))
-    told = pairs.join(n_t, "term").withColumn("share", told_by("n_t"))
+    found = found.select(_key(F.col("text")).alias("key"), F.array_distinct(F.flatten(F.transform("spans", _entities))).alias("entities"), _terms(F.col("text")).alias("terms"))
+    near = found.groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    near = materialise(near, "contexts")
+    total = float(texts.count())
+    told_by = lambda n_et, n_t, n_e: F.log2(n_et * total / ((n_t + SMOOTHING) * n_e)) / F.log2(total / n_e)
+    if total <= support:
+        return near.select(F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    # share > s means P(e | t) > (n(e) / N) ** (1 - s), and "any" holds every entity's documents
+    bound = (support / total) ** (1 - share)
+    n_t = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    with_any = near.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_any"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    able = with_any.join(n_t, "term").where(F.col("n_any") > (F.col("n_t") + SMOOTHING) * bound)
+    able = materialise(able.select("term", "n_t", "texts"), "able")
+    pairs = join_one(near.select("copies", "entities", F.explode("terms").alias("term")), able, ["term"], "texts").select("copies", "term", "n_t", F.explode("entities").alias("entity"))
+    pairs = pairs.groupBy("entity", "term", "n_t").agg(F.sum("copies").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    pairs = materialise(pairs, "pairs")
+    n_e = near.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    n_e = materialise(n_e.join(pairs.groupBy("entity").agg(F.count("*").alias("n")), "entity").where(F.col("n_e") < total), "entities")
+    told = join_one(pairs, n_e, ["entity"], "n").withColumn("share", told_by(F.col("n_et"), F.col("n_t"), F.col("n_e")))
     told = materialise(told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") > share), "told")
-    return told, stands.join(told, "term").select("key", "term", "share")
+    for done in (near, able, pairs, n_e):
+        discard(done)
+    return told
+
+
+def _with_terms(docs: DataFrame, told: DataFrame, name: str) -> DataFrame:
+    """docs with the disclosing terms of its text: an array of (term, removed)."""
+    made = lambda t, removed: F.struct(t.alias("term"), removed.alias("removed"))
+    if told.limit(SET_TERMS + 1).count() <= SET_TERMS:
+        rows = told.collect()
+        all_of, gone = [r.term for r in rows], [r.term for r in rows if r.share > REMOVE]
+        hits = F.transform(F.filter(_terms(F.col("text")), lambda t: t.isin(all_of)), lambda t: made(t, t.isin(gone)))
+        return docs.withColumn(name, F.coalesce(hits, F.from_json(F.lit("[]"), "array<struct<term:string,removed:boolean>>")))
+    x, y, n = (free_name(docs, c) for c in ("veil_x", "veil_y", "veil_n"))
+    one = docs.where("text is not null").select(F.xxhash64("text").alias(x), F.xxhash64("text", F.lit(1)).alias(y), F.explode(_terms(F.col("text"))).alias("term"))
+    counts = one.join(told.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    hits = join_one(one, materialise(told.join(counts, "term"), "told"), ["term"], "n").groupBy(x, y, "term", "share").agg(F.count("*").alias(n))
+    of = hits.groupBy(x, y).agg(F.max(n).alias(n), F.array_sort(F.collect_list(made(F.col("term"), F.col("share") > REMOVE))).alias(name))
+    keyed = docs.select(*docs.columns, F.xxhash64("text").alias(x), F.xxhash64("text", F.lit(1)).alias(y))
+    return join_one(keyed, materialise(of, "stands"), [x, y], n, "left").select(*docs.columns, F.coalesce(name, F.from_json(F.lit("[]"), "array<struct<term:string,removed:boolean>>")).alias(name))
 
 
 def find(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
     """docs (with a column text) with email, ip, card, phone and term (arrays of spans) appended.
 
-    Null texts count as empty: no spans. A disclosing term's span is a whole word, wherever it
-    stands in any text but inside a base span. Equal texts have equal spans; repeated rows stay.
-    Other columns stay, but for those named like an output, which are replaced.
+    Null and empty texts have no spans. A disclosing term's span is a whole word, wherever it
+    stands in any text but inside a base span, of the kind "term", or "removed" where it discloses
+    all but all. Equal texts have equal spans; repeated rows stay; an empty table stays empty. Other
+    columns stay, but for those named like an output, which are replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in (*KINDS, "term")]
-    told, stands = disclosing_terms(docs.select("text"), support, share)
-    of = stands.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms")).select(F.col("key.x").alias("veil_x"), F.col("key.y").alias("veil_y"), "terms")
-    found = docs.select(*kept, F.xxhash64("text").alias("veil_k"), F.xxhash64("text", F.lit(1)).alias("veil_l"))
-    found = found.join(of, (F.col("veil_k") == F.col("veil_x")) & (F.col("veil_l") == F.col("veil_y")) & F.col("text").isNotNull(), "left")
-    found = found.select(*kept, "terms", *[F.coalesce(c, F.array().cast(_SPANS)).alias(k) for k, c in base_spans(F.col("text")).items()])
+    hits = free_name(docs, "veil_terms")
+    found = _with_terms(docs.select(*kept), disclosing_terms(docs.select("text"), support, share), hits)
+    found = found.select(*kept, hits, *[F.coalesce(c, F.array().cast(_SPANS)).alias(k) for k, c in base_spans(F.col("text")).items()])
     whole = lambda t: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), t, F.lit(r"\E(?![\p{L}\p{N}])"))  # noqa: E731  a term has letters and digits only
-    kind = lambda t: F.when(t.share > REMOVE, F.lit("removed")).otherwise(F.lit("term"))
-    terms = F.flatten(F.transform("terms", lambda t: _located(F.col("text"), whole(t.term), kind(t), len(KINDS))))
+    kind = lambda t: F.when(t.removed, F.lit("removed")).otherwise(F.lit("term"))
+    terms = F.flatten(F.transform(hits, lambda t: _located(F.col("text"), whole(t.term), kind(t), len(KINDS))))
     base = F.concat(*KINDS)
     free = F.filter(terms, lambda s: ~F.exists(base, lambda b: (s.start < b.end) & (b.start < s.end)))
-    return found.withColumn("term", F.when(F.col("terms").isNull(), F.array().cast(_SPANS)).otherwise(F.array_sort(free))).drop("terms")
+    return found.select(*kept, *KINDS, F.when(F.size(hits) == 0, F.array().cast(_SPANS)).otherwise(F.array_sort(free)).alias("term"))
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
-    """docs with its text sanitised: base spans become <EMAIL>, <IP>, <CARD> or <PHONE>, disclosing
-    terms <TERM>, or nothing where they disclose all. Of base spans that overlap, the first one
-    counts and the others' rest stays covered by it up to the farther end."""
-    kept = [c for c in docs.columns if c.lower() not in (*KINDS, "term")]
-    found = find(docs, support, share)
+def sanitised(text: Column) -> Column:
+    """The text beside the columns of find(): base spans become <EMAIL>, <IP>, <CARD> or <PHONE>,
+    disclosing terms <TERM>, or nothing where they are to be removed. Of base spans that overlap,
+    the first one counts and the others' rest stays covered by it up to the farther end. Null stays
+    null."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(state: Column, s: Column) -> Column:
         name = F.when(s.kind == "removed", "").otherwise(F.concat(F.lit("<"), F.upper(s.kind), F.lit(">")))
-        between = F.call_function("substring", F.col("text"), state.at + 1, F.greatest(F.lit(0), s.start - state.at))
+        between = F.call_function("substring", text, state.at + 1, F.greatest(F.lit(0), s.start - state.at))
         inside = s.start < state.at
         return F.struct(F.greatest(state.at, s.end).alias("at"), F.when(inside, state.out).otherwise(F.concat(state.out, between, name)).alias("out"))
 
-    text = F.aggregate(F.array_sort(F.concat(*KINDS, "term")), start, put, lambda s: F.concat(s.out, F.call_function("substring", F.col("text"), s.at + 1)))
-    found = found.withColumn("veil_text", F.when(F.col("text").isNotNull(), text))
-    return found.select(*[F.col("veil_text").alias("text") if c == "text" else F.col(c) for c in kept])
+    out = F.aggregate(F.array_sort(F.concat(*KINDS, "term")), start, put, lambda s: F.concat(s.out, F.call_function("substring", text, s.at + 1)))
+    return F.when(text.isNotNull(), out)
+
+
+def sanitise(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
+    """docs with its text sanitised() by what find() finds. All other columns stay."""
+    kept = docs.columns
+    renamed = {c: free_name(docs, f"veil_kept_{c}") for c in kept if c.lower() in (*KINDS, "term")}
+    found = find(docs.withColumnsRenamed(renamed), support, share)
+    return found.select(*[sanitised(F.col("text")).alias("text") if c == "text" else F.col(renamed.get(c, c)).alias(c) for c in kept])
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
+    """Counts and digests of the spans of every document, the disclosing terms' among them, how many
+    terms are generalised and removed, and the digest of the sanitised text (null counts as empty)."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*KINDS)
     return found.select(
@@ -185,4 +212,7 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.concat(base, "term")).alias("spans"),
+        F.size(F.filter("term", lambda s: s.kind == "term")).cast("long").alias("n_generalised"),
+        F.size(F.filter("term", lambda s: s.kind == "removed")).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(sanitised(F.col("text")), F.lit("")), 256).alias("sanitised_sha256"),
     )
