@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import join_one, materialise, table
 
 SHARDS = 8
 #: Groups of equal texts up to this part of a shard's bytes stay together.
@@ -47,13 +47,14 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     )
     placed = materialise(placed, "placed")
     groups = placed.groupBy("h").agg(F.count("*").alias("copies"), F.sum("size").alias("g_size"), F.min("start").alias("g_start"))
-    groups = groups.where((F.col("copies") > 1) & (F.col("g_size") * n * GROUP_PART <= total)).select("h", "g_size", "g_start")
-    dealt = placed.join(groups, "h", "left").select("doc_id", "size", "text_crc32", "at", F.least(F.lit(n - 1), F.expr(f"cast((coalesce(2 * g_start + g_size, 2 * start + size) * {n}) div {2 * total} as int)")).alias("shard"))
+    groups = groups.where((F.col("copies") > 1) & (F.col("g_size") * n * GROUP_PART <= total)).select("h", "copies", "g_size", "g_start")
+    dealt = join_one(placed, materialise(groups, "groups"), ["h"], "copies", "left").select("doc_id", "size", "text_crc32", "at", F.least(F.lit(n - 1), F.expr(f"cast((coalesce(2 * g_start + g_size, 2 * start + size) * {n}) div {2 * total} as int)")).alias("shard"))
     dealt = materialise(dealt, "dealt")
     firsts = dealt.groupBy("shard").agg(F.min("at").alias("first"))  # n rows
     return dealt.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document, by the bytes law."""
     found = shards(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

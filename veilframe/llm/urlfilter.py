@@ -5,7 +5,7 @@ are cut into the entries that could fit it: its host suffixes with its path pref
 numbers of labels and lengths that the list has. Each such candidate is tested in a Bloom filter
 whose bits for a key lie in one 64-bit block; those that pass meet the list in a hash join, which
 removes false positives. Distinct (host, path) pairs only are judged, so that a hot host or url is
-worked on once.
+worked on once; its verdict goes back to its pages by a broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free_name, join_one, materialise, table
 
 # The rules, most specific wins, and the canonical urls of the block list.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -21,8 +21,11 @@ LISTED = ("spam-farm.example.org/", "cheap-pills.example.com/", "spam-farm.examp
 
 #: Listed keys in a block on average, and bits set for a key.
 KEYS_A_BLOCK, BITS = 4, 4
-#: Up to so many listed entries (about 100 bytes each), filter and list are broadcast; larger ones
-#: are joined by shuffles.
+#: Blocks at most (of two longs each): the filter is broadcast whatever the list's length; beyond
+#: that it lets more through, which the exact join removes.
+MOST_BLOCKS = 1 << 21
+#: A list of up to so many entries (about 100 bytes each) is broadcast, a longer one is joined by a
+#: shuffle of what passes the filter.
 BROADCAST_ROWS = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,13 +61,13 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def listed_hits(candidates: DataFrame, listed: DataFrame) -> DataFrame:
     """candidates (with a column key) joined with the rows of listed (distinct keys) of that key,
-    by way of the Bloom filter. The number of listed rows decides between broadcasts and shuffles."""
+    by way of the Bloom filter."""
     n = listed.count()
     small = n <= BROADCAST_ROWS
-    blocks = max(1, -(-n // KEYS_A_BLOCK))
+    blocks = min(MOST_BLOCKS, max(1, -(-n // KEYS_A_BLOCK)))
     bits = bloom(listed, blocks)
     key = F.col("key")
-    possible = candidates.withColumn("block", _block(key, blocks)).join(F.broadcast(bits) if small else bits, "block").where(F.col("bits").bitwiseAND(_mask(key)) == _mask(key)).drop("block", "bits")
+    possible = candidates.withColumn("block", _block(key, blocks)).join(F.broadcast(bits), "block").where(F.col("bits").bitwiseAND(_mask(key)) == _mask(key)).drop("block", "bits")
     return possible.join(F.broadcast(listed) if small else listed, "key")
 
 
@@ -81,7 +84,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     host, path = host_and_path(F.col(url))
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "entry")]
     at = pages.select(*kept, host.alias("host"), path.alias("path"))
-    urls = materialise(at.select("host", "path").distinct(), "urls")
+    says, copies = free_name(at, "veil_says"), free_name(at, "veil_copies")
+    urls = materialise(at.groupBy("host", "path").agg(F.count("*").alias("copies")), "urls")
     entries = rules.select(F.lit("rule").alias("kind"), F.lower("host").alias("host"), "path", F.col("verdict").alias("says")).union(
         listed.select(F.lit("list"), F.lower(F.substring_index("entry", "/", 1)), F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)"), F.lit("block"))
     )
@@ -102,13 +106,15 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     # the longest wins: order by (length, host length, text) through a struct
     rank = F.struct(F.length("fits"), F.col("n_host"), F.col("fits"), F.col("says"))
     best = hits.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == "rule", rank)).alias("r"), F.max(F.when(F.col("kind") == "list", rank)).alias("l"))
-    judged = best.select("host", "path", F.col("r.fits").alias("rule"), F.col("r.says").alias("says"), F.col("l.fits").alias("entry"))
-    found = at.join(judged, ["host", "path"], "left")
-    verdict = F.coalesce("says", F.when(F.col("entry").isNotNull(), "block"), F.lit("allow"))
+    judged = best.select("host", "path", F.col("r.fits").alias("rule"), F.col("r.says").alias(says), F.col("l.fits").alias("entry"))
+    judged = materialise(judged.join(urls.withColumnRenamed("copies", copies), ["host", "path"]), "judged")
+    found = join_one(at, judged, ["host", "path"], copies, "left")
+    verdict = F.coalesce(says, F.when(F.col("entry").isNotNull(), "block"), F.lit("allow"))
     return found.select(*kept, "host", "path", "rule", verdict.alias("verdict"), "entry")
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict, entry) of every page, by RULES and LISTED."""
     rules = spark.createDataFrame(list(RULES), "verdict string, host string, path string")
     listed = spark.createDataFrame([(x,) for x in LISTED], "entry string")
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
