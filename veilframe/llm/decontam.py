@@ -7,20 +7,20 @@ their places in the original text from a second pass over contaminated documents
 
 The automaton is sent to the executors. Its size is that of the benchmark, which is checked: where
 the windows take more than `block_bytes`, the benchmark is split by a hash of the window into
-blocks below that bound, and every block's automaton scans the documents in turn.
+blocks of about that size, whose automata scan the documents one after another; the runs that
+they hit are put together per text.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, spread, table
+from .common import free_name, join_one, map_text, materialise, spread, table
 
 WIDTH = 10
 #: Bytes of window text in one automaton: about 50 times as many bytes in memory.
@@ -52,19 +52,43 @@ def _automaton(found: dict[bytes, list]) -> ahocorasick.Automaton:
     return auto
 
 
-def _scan(texts: list, automata: list) -> list[list]:
-    """Per text: words, hit words, items, and the hit runs of words as code point spans."""
+def _windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item, window) of all items; a null id is named ""."""
+
+    def run(batches):
+        for batch in batches:
+            items, found = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = windows_of(text, width)
+                items += [item] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(found, pa.binary())], names=["item", "window"])
+
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(run, "item string, window binary")
+
+
+def _scanner(found):
+    """What map_text() makes of a broadcast block of windows."""
+
+    def make():
+        auto = _automaton(found.value)
+        return lambda texts: _scan(texts, auto)
+
+    return make
+
+
+def _scan(texts: list, auto: ahocorasick.Automaton) -> list[list]:
+    """Per text: words, hit words, items, and the hit runs: words at to `to`, exclusive, and their
+    code points."""
     n_words, n_hit, items_of, spans_of = [], [], [], []
     for text in texts:
         words = words_of(text)
         hits, items = [], set()
         if words:
             line = f" {b' '.join(words).decode('latin-1')} "
-            for auto in automata:
-                if len(auto):
-                    for end, (width, ids) in auto.iter(line):
-                        hits.append((end, width))
-                        items.update(ids)
+            for end, (width, ids) in auto.iter(line) if len(auto) else ():
+                hits.append((end, width))
+                items.update(ids)
         spans, total = [], 0
         if hits:
             # the character after word k is at ends[k]
@@ -86,16 +110,16 @@ def _scan(texts: list, automata: list) -> list[list]:
 
 
 def _original(text: str, runs: list[list[int]]) -> list[dict]:
-    """Code point spans, end exclusive, of runs of words."""
+    """Runs of words with their code points, end exclusive."""
     raw = text.encode("utf-8", "surrogatepass")
     is_word = np.frombuffer(raw.translate(_FOLD), dtype=np.uint8) != 0x20
     edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     points = np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)  # code points up to this byte
-    return [{"start": int(points[starts[a]]) - 1, "end": int(points[stops[b - 1] - 1])} for a, b in runs]
+    return [{"at": a, "to": b, "start": int(points[starts[a]]) - 1, "end": int(points[stops[b - 1] - 1])} for a, b in runs]
 
 
-_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_SPAN = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("at", "to", "start", "end")]))
 _FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPAN)]
 
 
@@ -107,57 +131,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     nothing. Other columns of docs stay, but for those named like an output, which it replaces.
     """
     spark = docs.sparkSession
-    cut = F.udf(lambda t: [bytearray(w) for w in windows_of(t, width)], T.ArrayType(T.BinaryType()))
-    windows = (
-        benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.explode(cut("text")).alias("window"))
-        .groupBy("window")
-        .agg(F.collect_set("item").alias("items"))
-    )
+    windows = _windows(benchmark, width).groupBy("window").agg(F.collect_set("item").alias("items"))
     total = windows.agg(F.sum(F.length("window") + 16)).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    parts = []
-    for k in range(blocks):
-        mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        parts.append(spark.sparkContext.broadcast({bytes(r.window): list(r["items"]) for r in mine.toLocalIterator()}))
-
-    def make():
-        if len(parts) == 1:
-            auto = [_automaton(parts[0].value)]
-            return lambda texts: _scan(texts, auto)
-
-        def work(texts):  # a block at a time in memory
-            merged = None
-            for p in parts:
-                got = _scan(texts, [_automaton(p.value)])
-                if merged is None:
-                    merged = got
+    if blocks == 1:
+        found = spark.sparkContext.broadcast({bytes(r.window): list(r["items"]) for r in windows.toLocalIterator()})
+        return map_text(docs, text, _FIELDS, _scanner(found)).withColumn("spans", F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
+    windows = materialise(windows, "windows")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keys = [F.xxhash64(whole), F.xxhash64(whole, F.lit(1))]
+    texts = docs.select(keys[0].alias("k"), keys[1].alias("l"), F.col(text).alias("text"))
+    parts = None
+    for i in range(blocks):  # one block at a time on the driver and in a task
+        mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i)
+        found = spark.sparkContext.broadcast({bytes(r.window): list(r["items"]) for r in mine.toLocalIterator()})
+        hits = map_text(texts, "text", _FIELDS, _scanner(found)).where("n_hit > 0").groupBy("k", "l").agg(F.first("items").alias("items"), F.first("spans").alias("spans"), F.count("*").alias("n"))
+        hits = materialise(hits, f"block-{i}")
+        found.destroy()
+        parts = hits if parts is None else parts.union(hits)
+    own = [free_name(docs, n) for n in ("veil_k", "veil_l", "veil_n", "veil_items", "veil_runs")]
+    of = parts.groupBy("k", "l").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    of = of.mapInArrow(_merged, of.schema).toDF(*own)  # at most one row a block and text goes into a group
+    counted = map_text(docs, text, _FIELDS[:1], lambda: lambda texts: [[len(words_of(t)) for t in texts]])
+    kept = [c for c in counted.columns if c.lower() not in ("n_words", "n_hit", "items", "spans")]
+    out = join_one(counted.select(*kept, "n_words", keys[0].alias(own[0]), keys[1].alias(own[1])), materialise(of, "hits"), own[:2], own[2], "left")
+    n_hit = F.coalesce(F.aggregate(own[4], F.lit(0).cast("long"), lambda n, r: n + r.to - r.at), F.lit(0).cast("long"))
+    items, spans = F.coalesce(own[3], F.array().cast("array<string>")), F.coalesce(own[4], F.array().cast(_SPAN))
+    return out.select(*kept, "n_words", n_hit.alias("n_hit"), items.alias("items"), F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("spans"))
+
+
+def _merged(batches):
+    """Rows whose spans are put in order, those that overlap or touch as one."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        for row in rows:
+            runs: list[dict] = []
+            for r in sorted(row["spans"], key=lambda r: (r["at"], r["to"])):
+                if runs and r["at"] <= runs[-1]["to"]:
+                    runs[-1] |= {"to": max(runs[-1]["to"], r["to"]), "end": max(runs[-1]["end"], r["end"])}
                 else:
-                    merged[2] = [sorted({*a, *b}) for a, b in zip(merged[2], got[2], strict=True)]
-                    merged[3] = [a + b for a, b in zip(merged[3], got[3], strict=True)]
-            if merged:
-                for i, text in enumerate(texts):
-                    merged[3][i], merged[1][i] = _union(text, merged[3][i])
-            return merged
-
-        return work
-
-    return map_text(docs, text, _FIELDS, make)
-
-
-def _union(text: str | None, spans: list[dict]) -> tuple[list[dict], int]:
-    """Overlapping or adjacent spans of several blocks as runs of words, and their words."""
-    if not spans:
-        return [], 0
-    runs: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if runs and (s["start"] <= runs[-1]["end"] or not words_of(text[runs[-1]["end"] : s["start"]])):
-            runs[-1]["end"] = max(runs[-1]["end"], s["end"])
-        else:
-            runs.append(dict(s))
-    return runs, sum(len(words_of(text[s["start"] : s["end"]])) for s in runs)
+                    runs.append(r)
+            row["spans"] = runs
+        yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
