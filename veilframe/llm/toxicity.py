@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps homoglyphs and digits to the letters they stand for and merges l with i,
-so that "1D10T", "idiot" and a Cyrillic look-alike are one word. Lexicon entries are words or word
+Folding lower-cases, maps compatibility forms, homoglyphs and digits to the letters they stand for,
+closes up words whose letters stand apart and merges l with i, so that "1D10T", "idiot" and a Cyrillic look-alike are one word. Lexicon entries are words or word
 beginnings. Their weights are log odds learned from labelled rows (document frequencies over at
 most TRAIN_ROWS rows of either class), beside a short general list. Matches inside an exception
 phrase don't count; phrases are given or learned as contexts seen in clean rows only. The sum of
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import ahocorasick
@@ -25,8 +27,8 @@ from .common import discard, held_out, map_text, materialise, spread, table, tra
 
 #: Labelled rows of either class that the lexicon and the curve are fitted on, at most.
 TRAIN_ROWS = 6000
-#: Entries of the learned lexicon at most, best evidence first, and the least evidence (G squared).
-LEXICON_ROWS, LEAST_EVIDENCE, LEAST_ROWS = 5000, 15.0, 3
+#: The least evidence (G squared) of an entry, and the least rows that it or an exception is in.
+LEAST_EVIDENCE, LEAST_ROWS = 15.0, 3
 #: An entry has to be in this part of the toxic rows, or in toxic rows that no better entry is in.
 COMMON_PART = 0.03
 #: Lengths of word beginnings that are tried as entries.
@@ -47,11 +49,17 @@ _FOLD = {ord(k): v for k, v in (_LOOKS | _DIGITS | {"ı": "i", "ł": "i", "​":
 _SIGNS = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
 _SIGN = {"@": "a", "$": "s", "!": "i", "|": "i"}
 _WORD = re.compile(r"[^\W\d_]+")
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:([.\-_*~ ])[^\W_])(?:\1[^\W_]){2,}(?![^\W_])")
+_APART_SIGN = re.compile(r"[.\-_*~ ]")
 
 
 def fold(text: str | None) -> list[str]:
-    """The folded words of a text."""
-    text = (text or "").lower()
+    """The folded words of a text: also of compatibility forms (full width, ligatures) and of words
+    whose letters stand apart, by one sign or space each."""
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = _APART.sub(lambda m: _APART_SIGN.sub("", m[0]), text.lower())
     if "@" in text or "$" in text or "!" in text or "|" in text:
         text = _SIGNS.sub(lambda m: _SIGN[m[0]], text)
     return _WORD.findall(text.translate(_FOLD))
@@ -80,7 +88,17 @@ class Lexicon:
                 free.append((end - n + 1, end))
             elif w > found.get(end - n + 1, 0):
                 found[end - n + 1] = w
-        return [(at, w) for at, w in found.items() if not any(a <= at < b for a, b in free)]
+        if not free:
+            return list(found.items())
+        starts, stops = [], []  # the phrases' places, merged
+        for a, b in sorted(free):
+            if stops and a < stops[-1]:
+                stops[-1] = max(stops[-1], b)
+            else:
+                starts.append(a)
+                stops.append(b)
+        inside = lambda at: (k := bisect_right(starts, at)) and at < stops[k - 1]
+        return [(at, w) for at, w in found.items() if not inside(at)]
 
     def features(self, text: str | None) -> tuple[float, float, int]:
         words = fold(text)
@@ -166,7 +184,6 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[L
             .withColumn("g", evidence)
             .where(F.col("g") >= LEAST_EVIDENCE)
             .orderBy(F.desc("g"), F.col("term").endswith(" "), F.desc(F.length("term")), "term")
-            .limit(LEXICON_ROWS)
             .collect()
         )
         taken = _cover(rows.where("y = 1"), best, n)
@@ -182,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[L
                 out.update(f" {words[i]} {words[i + 1]} " for i in (k - 1, k) if 0 <= i < len(words) - 1)
             return out
 
-        learned = _counted(rows, contexts).where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "term").limit(LEXICON_ROWS)
+        learned = _counted(rows, contexts).where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "term")
         exceptions += [r.term for r in learned.collect()]
     lexicon = Lexicon(weights, exceptions)
     curve = np.array([-3.0, 1.0, 1.0])
@@ -238,6 +255,7 @@ def score(docs: DataFrame, lexicon: Lexicon, curve: np.ndarray, text: str = "tex
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_toxic_terms) of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon, curve = learn(docs, table(spark, sf_dir, "labels"))
     return score(spread(docs), lexicon, curve).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_toxic_terms")
