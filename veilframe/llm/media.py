@@ -50,7 +50,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = np.frombuffer(digits, dtype=np.uint8)[:n] == 0x30
         samples, most = values.astype(np.int64), 1
     elif kind in (b"P2", b"P3"):
-        samples = np.array(re.sub(rb"#[^\n\r]*", b"", data[head.end() :]).split()[:n], dtype=np.int64)
+        samples = np.array([int(x) for x in re.sub(rb"#[^\n\r]*", b"", data[head.end() :]).split()[:n]], dtype=object)
     elif kind == b"P4":
         stride = -(-width // 8)
         raw = np.frombuffer(data, dtype=np.uint8, count=stride * height, offset=head.end() + 1).reshape(height, stride)
@@ -59,6 +59,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, dtype=np.uint8 if most < 256 else ">u2", count=n, offset=head.end() + 1)
     if len(samples) != n:
         raise ValueError("Netpbm image is cut short")
+    if n and not 0 <= samples.min() <= samples.max() <= most:
+        raise ValueError("Netpbm sample out of range")
     if most != 255:
         samples = (samples.astype(np.int64) * 255 + most // 2) // most
     image = samples.astype(np.uint8)
@@ -79,18 +81,28 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return head + info + palette + rows.tobytes()
 
 
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The channel under a mask, scaled to 0..255; 0 without a mask."""
+    shift = (mask & -mask).bit_length() - 1 if mask else 0
+    most = mask >> shift
+    return (((pixels & mask) >> shift) * 255 // max(most, 1)).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel."""
+    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel, of 32 also with colour masks."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     offset, size = struct.unpack_from("<II", data, 10)
     width, height, _, depth, packed, _, _, _, used = struct.unpack_from("<iiHHIIiiI", data, 18)
-    if packed not in (0, 3) or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if packed not in (0, 3) or (packed and depth != 32) or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("this kind of BMP is not read")
     stride = -(-width * depth // 32) * 4
     raw = np.frombuffer(data, dtype=np.uint8, count=stride * abs(height), offset=offset).reshape(abs(height), stride)
     if height > 0:
         raw = raw[::-1]
+    if packed:
+        pixels = np.ascontiguousarray(raw[:, : width * 4]).view("<u4").astype(np.int64)
+        return np.stack([_masked(pixels, m) for m in struct.unpack_from("<III", data, 54)], axis=-1)
     if depth >= 24:
         return np.ascontiguousarray(raw[:, : width * depth // 8].reshape(abs(height), width, depth // 8)[:, :, 2::-1])
     bits = np.unpackbits(raw, axis=1)[:, : width * depth].reshape(abs(height), width, depth)
@@ -157,7 +169,7 @@ def tiles(images: DataFrame, data: str = "image", side: int = 32) -> DataFrame:
                         raise ValueError("no image")
                     image = decode(bytes(blob))
                     row = (*image.shape[:2], difference_hash(image), npy_tile(image, side), None)
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                     row = (None, None, None, None, str(e))
                 for to, x in zip(out, row, strict=True):
                     to.append(x)
@@ -223,5 +235,6 @@ def text_media_digests(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
+    """The digests of text_media_digests() of every document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text_media_digests(docs).drop("text")
