@@ -1,8 +1,10 @@
 """URL filter, sharding, line dedup and PII against brute force."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,17 +148,52 @@ def test_base_spans(spark, docs):
     assert got == {i: plain_spans(t) for i, t in enumerate(texts)}
 
 
-def test_disclosing_terms(spark, docs):
+def plain_terms(texts, support=3, share=0.85, smoothing=1):
+    """Disclosing terms by counting every entity with every term."""
+    texts = [t for t in texts if t]
+    of_text = {}
+    for t in set(texts):
+        entities, plain = set(), re.sub(BASE["email"], " ", t)
+        for kind, at in ((x.split(":")[0], x.split(":")) for x in plain_spans(t).split(",") if x):
+            value = t[int(at[1]) : int(at[2])]
+            d = re.sub("[^0-9]", "", value)
+            part = {"email": value.lower().split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": d[:6], "phone": d[:4]}[kind]
+            entities |= {"any", kind, f"{kind}:{part}", f"{kind}={d if kind in ('card', 'phone') else value.lower()}"}
+        of_text[t] = entities, {w for w in re.split(r"[\W_]+", plain.lower()) if w and not re.fullmatch("[0-9]+", w)}
+    n_e, n_t, n_et, support_of = Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        n_e.update(of_text[t][0])
+        n_t.update(of_text[t][1])
+        n_et.update((e, w) for e in of_text[t][0] for w in of_text[t][1])
+    for entities, words in of_text.values():
+        support_of.update((e, w) for e in entities for w in words)
+    out = {}
+    for (e, w), n in n_et.items():
+        if support_of[e, w] >= support and n_e[e] < len(texts):
+            told = math.log2(n / (n_t[w] + smoothing) * len(texts) / n_e[e]) / math.log2(len(texts) / n_e[e])
+            if told > share:
+                out[w] = max(told, out.get(w, 0))
+    return out
+
+
+@pytest.mark.parametrize("n_set", [10_000, 0])
+def test_disclosing_terms(spark, docs, monkeypatch, n_set):
+    monkeypatch.setattr(pii, "SET_TERMS", n_set)
     rng = random.Random(9)
-    filler = lambda: " ".join(rng.choice(["river", "stone", "house", "water", "light"]) for _ in range(12))
-    texts = [f"{filler()} Zorblatt wrote from ann@site.org {filler()}" if i < 8 else filler() for i in range(400)]
-    texts += [None, "", "Zorblatt was here", "wrote"]
+    filler = lambda: " ".join(rng.choice(["river", "stone", "house", "water", "light", "Stra\u00dfe", "17"]) for _ in range(12))
+    texts = [f"{filler()} Zorblatt {'wrote ' * (i % 3)}from ann@site.org {filler()} {i}" for i in range(9)]
+    texts += [f"{filler()} quimby u{i}@mail.net {filler()}" for i in range(5)] + [f"brux{i} +1 (234) 555-000{i} {filler()} vorta" for i in range(6)]
+    texts += [f"copied word hapax 10.20.30.40 {filler()}"] * 7 + [f"{filler()} {i}" for i in range(400)] + [None, "", "Zorblatt was here", "wrote", "QUIMBY quimby"]
     table = docs(*texts)
-    rows = {r.doc_id: r for r in pii.find(table).collect()}
-    terms = {(s.kind, s.value) for r in rows.values() for s in r.term}
-    assert terms and {v for _, v in terms} <= {"Zorblatt", "wrote", "from"}
-    s = rows[402].term
-    assert all(402 in rows and texts[402][x.start : x.end] == x.value for x in s)
-    clean = {r.doc_id: r.text for r in pii.sanitise(table).collect()}
-    assert "ann@site.org" not in clean[0] and "<EMAIL>" in clean[0] and clean[400] is None and clean[401] == ""
+    told = {r.term: r.share for r in pii.disclosing_terms(table).collect()}
+    want = plain_terms(texts)
+    assert told == pytest.approx(want) and {"zorblatt", "quimby", "vorta"} <= told.keys() and "hapax" not in told
+    rows = {r.doc_id: r for r in pii.find(table.withColumn("veil_terms", F.lit("clash"))).collect()}
+    for i, t in enumerate(texts):
+        base = [range(s.start, s.end) for k in pii.KINDS for s in rows[i][k]]
+        spans = sorted((m.start(), m.end(), "removed" if told[w] > pii.REMOVE else "term") for w in told for m in re.finditer(rf"(?i)(?<![^\W_]){re.escape(w)}(?![^\W_])", t or "") if not any(m.start() in b for b in base))
+        assert [(s.start, s.end, s.kind) for s in rows[i].term] == spans
+    clean = {r.doc_id: r for r in pii.sanitise(table.withColumn("term", F.lit("clash"))).collect()}
+    assert "ann@site.org" not in clean[0].text and "<EMAIL>" in clean[0].text and not re.search("(?i)zorblatt", clean[0].text) and clean[0].term == "clash"
+    assert [clean[texts.index(t)].text for t in (None, "")] == [None, ""]
     assert pii.find(table.limit(0)).count() == 0

@@ -244,6 +244,7 @@ def with_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text"
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     import public_tokenizers
 
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

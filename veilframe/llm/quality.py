@@ -193,6 +193,7 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], text:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(spread(docs), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
