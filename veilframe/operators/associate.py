@@ -126,108 +126,174 @@ def same_line(df: DataFrame, text: str = "text") -> DataFrame:
 
 # --- on a page, in order: plain Python within the page's own pass --------------------------------
 
-_SECRET_RE = [(re.compile(r"\b(?:" + "|".join(re.escape(x) for x in sorted(ls, key=len, reverse=True)) + r")\b"), kind) for ls, kind in SECRET_LABELS]
+_SECRET_RE = [(re.compile(r"\b(?:" + "|".join(re.escape(x) for x in sorted(ls, key=len, reverse=True)) + r")\b", re.ASCII), kind) for ls, kind in SECRET_LABELS]
+#: What a value must hold to go with a mere mention of a label (None: nothing will do).
+_SHAPES = {
+    "PASSWORD": lambda v: "@" in v or (len(v) >= 6 and bool(re.search("[a-zA-Z]", v)) and bool(re.search("[0-9]", v))),
+    "EMAIL_ID": lambda v: "@" in v,
+    "PHONE_NUMBER": lambda v: len(re.sub("[^0-9]", "", v)) >= 7,
+    "CARD_NUMBER": lambda v: bool(re.search("[0-9]{4}", v)),
+    "IFSC_CODE": lambda v: bool(re.fullmatch(r"(?i)[A-Z]{4}0[A-Z0-9]{6}", v)),
+}
+#: A row of mask signs, as shown beside a value; how far values may be from their labels.
+MASK = re.compile(r"[\u2022*]{4,}")
+SKIPS, CROSSING, DOTS_AHEAD, SHORT = 3, 6, 3, 20
+
+
+def _normal(text: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[.\-_:;/\\]+", " ", (text or "").lower())).strip()
 
 
 def find_secret(text: str) -> tuple[str, str, bool] | None:
-    key = re.sub(r"\s+", " ", re.sub(r"[.\-_:;/\\]+", " ", (text or "").lower())).strip()
-    weak = None
-    for pattern, kind in _SECRET_RE:
-        if key and (m := pattern.search(key)):
-            if len(m[0]) / len(key) >= 0.4:
-                return m[0], kind, False
-            weak = weak or (m[0], kind, True)
-    return weak
-
-
-def value_ok(kind: str, value: str) -> bool | None:
-    if kind == "PASSWORD":
-        return "@" in value or bool(re.search(r"(?=.*[a-zA-Z])(?=.*\d).{6,}", value))
-    if kind == "EMAIL_ID":
-        return "@" in value
-    if kind == "PHONE_NUMBER":
-        return len(re.sub(r"\D", "", value)) >= 7
-    if kind == "CARD_NUMBER":
-        return bool(re.search(r"\d{4}", value))
-    if kind == "IFSC_CODE":
-        return bool(re.fullmatch(r"(?i)[A-Z]{4}0[A-Z0-9]{6}", value))
-    return None
+    """(label, type, weak) of the label of a secret that a text names; see secret_label()."""
+    key, found = _normal(text), []
+    for pattern, kind in _SECRET_RE if key else ():
+        if m := pattern.search(key):
+            found.append((m[0], kind, len(m[0]) < 0.4 * len(key)))
+    return min(found, key=lambda hit: hit[2], default=None)
 
 
 def plausible(value: str) -> bool:
+    """Whether a text may be a value: see validators.plausible_value_dom()."""
     v = value.strip()
     words = v.split()
     if not 2 <= len(v) <= 80 or not re.search(r"(?i)[a-z0-9]", v) or len(words) > 8:
         return False
-    return not (len(words) > 4 and re.fullmatch(r"(?i)[a-z\s.,?()'\"]+", v) and not re.search(r"[\d@/_-]", v))
+    return not (len(words) > 4 and re.fullmatch(r"(?i)[a-z\s.,?()'\"]+", v) and not re.search(r"[0-9@/_-]", v))
+
 
+def bare_label(text: str) -> tuple[str, str, bool] | None:
+    """The label that a short text is, if no value is left beside it."""
+    key = _normal(text)
+    hit = find_secret(key) if len(key) <= 60 else None
+    if not hit or hit[2] or plausible(re.sub(r"[:\s]+", " ", key.replace(hit[0], "", 1)).strip()):
+        return None
+    return hit
 
-def _scope(path: str) -> str:
-    return "/".join(path.split("/")[:-2])
+
+def label_and_value(text: str) -> tuple[str, str, tuple[str, str, bool]] | None:
+    """The two sides of "Label: value" (any colon, or two spaces) and the label's hit.
+
+    A label that is only mentioned counts where the value has its type's shape; a value that is
+    itself nothing but a label does not count.
+    """
+    m = re.match(r"(.+?)\s*[:\uff1a]\s*(.+)$", text) or re.match(r"(.+?)\s{2,}(.+)$", text)
+    label, value = (m[1].strip(), m[2].strip()) if m else ("", "")
+    hit = find_secret(label) if 0 < len(label) <= 60 else None
+    if not hit or not plausible(value) or (hit[2] and not _SHAPES.get(hit[1], lambda v: False)(value)):
+        return None
+    other = find_secret(value)
+    if other and not plausible(value.replace(other[0], "", 1)):
+        return None
+    return label, value, hit
+
+
+def _scope(seg: dict) -> str:
+    """The container that a segment's element stands in (a text's is one part nearer)."""
+    parts = ["html", "body", *filter(None, seg["dom_path"].split("/"))] + ["#text"] * (seg["kind"] == "text")
+    return "/".join(parts[:-2] if len(parts) > 2 else parts)
 
 
 def _row(path: str) -> str:
-    m = re.match(r"(.*/tr\[\d+\])", path)
+    m = re.match(r"(.*/tr\[[0-9]+\])", path)
     return m[1] if m else ""
 
 
-def is_bare_label(text: str) -> bool:
-    """A short text that is a label and holds no value itself."""
-    hit = find_secret(text)
-    if not hit or hit[2] or len(text) > 60:
-        return False
-    rest = re.sub(re.escape(hit[0]), "", re.sub(r"[.\-_:;/\\]+", " ", text.lower()), count=1).strip(" :-")
-    return not (rest and plausible(rest))
+def _value_of(segments: list[dict], at: int) -> int | None:
+    """Where the value of the bare label `at` stands, if it has one.
+
+    A form value behind it is one. A text is one behind a label with a colon, or behind links and
+    buttons only that were skipped; else only in another container and with mask signs near by. Up to
+    SKIPS links, buttons and other labels are skipped, and short texts that are no values; a long
+    one ends the search, as do CROSSING segments after the label's container was left.
+    """
+    scope, colon = _scope(segments[at]), segments[at]["text"].rstrip().endswith((":", "\uff1a"))
+    links = labels = behind = 0
+    left = masked = False
+    for j in range(at + 1, len(segments)):
+        seg = segments[j]
+        if seg["kind"] == "form_value":
+            return j
+        if _scope(seg) != scope:
+            left = True
+        elif left:
+            behind += 1
+            if behind > CROSSING:
+                return None
+        text = seg["text"].strip()
+        if MASK.search(text):
+            masked = True
+        elif text:
+            skipped = links + labels
+            if seg["tag"] in ("a", "button"):
+                links += 1
+            elif bare_label(text):
+                labels += 1
+            elif plausible(text):
+                near = masked or any(MASK.search(s["text"]) for s in segments[j : j + DOTS_AHEAD + 1])
+                return j if colon or (links and not labels) or (left and near) else None
+            elif len(text) > SHORT:
+                return None
+            if links + labels > max(skipped, SKIPS):
+                return None
+    return None
 
 
-MASK = re.compile(r"^[•●*·∙.]{3,}$")
+def _forced(seg: dict, kind: str, reason: str) -> dict:
+    return seg | {"force_redact": True, "force_reason": reason, "forced_type": kind}
 
 
-def associate_labels(segments: list[dict], skips: int = 3, crossing: int = 6) -> list[dict]:
-    """Marks values that belong to labels of secrets as forced, and splits "Label: value" texts.
+def associate_labels(segments: list[dict]) -> list[dict]:
+    """Segments of a page with the values of secrets' labels forced; labels stay as they are.
 
-    A: a form value whose label, name or table header names a secret. B: a text with label and
-    value becomes two segments, the label as it is. C: the next value behind a bare label, at most
-    `skips` other texts further in the same scope, or within `crossing` texts where mask dots stand
-    beside it. D: a table cell under or beside such a header. Links, buttons and headings are no
-    values and headings no labels.
+    A: a form value whose label or name names a secret. B: a text or attribute with label and value
+    becomes two segments. C: a bare label's value is put behind it. D: in tables, a cell under such a
+    header, and the cell beside one in its row. What is forced already stays as it is.
     """
     out: list[dict] = []
-    for seg in segments:
-        seg = dict(seg)
-        hint = seg["hint"]
-        names = [hint.get(k) for k in ("label_text", "field_name", "table_header")]
-        hit = next((h for n in names if n and (h := find_secret(n)) and not h[2]), None)
-        if hit and not seg["force_redact"] and (seg["kind"] == "form_value" or hint.get("table_header")) and plausible(seg["text"]) and value_ok(hit[1], seg["text"]) is not False:
-            seg |= {"force_redact": True, "force_reason": "label", "forced_type": hit[1]}
-        m = re.match(r"^(.{2,60}?):\s*(\S.*)$", seg["text"]) if seg["kind"] == "text" and not seg["force_redact"] else None
-        hit = find_secret(m[1]) if m else None
-        ok = value_ok(hit[1], m[2].strip()) if hit else None
-        if m and hit and plausible(m[2]) and (ok is True if hit[2] else ok is not False):
-            at = seg["text"].index(m[2], len(m[1]))
-            out.append(seg | {"id": None, "text": seg["text"][:at].rstrip(), "split": "label"})
-            out.append(seg | {"id": None, "text": m[2].strip(), "force_redact": True, "force_reason": "label-split", "forced_type": hit[1], "split": "value"})
+    taken: set[int] = set()
+    for i, seg in enumerate(segments):
+        if i in taken:
             continue
-        out.append(seg)
-    texts = [i for i, s in enumerate(out) if s["kind"] == "text"]
-    for at, i in enumerate(texts):
-        label = out[i]
-        if label["force_redact"] or re.fullmatch(r"h[1-6]", label["tag"]) or label.get("split") or not is_bare_label(label["text"]):
+        if seg["kind"] == "form_value":
+            names = [x for x in (seg["hint"].get("label_text"), seg["hint"].get("field_name")) if x and x.strip()]
+            hit = None if seg["force_redact"] else find_secret(" ".join(names))
+            out.append(_forced(seg, hit[1], f"label-hint-{hit[0].replace(' ', '-')}") if hit else seg)
+        elif split := label_and_value(seg["text"]):
+            label, value, hit = split
+            out.append(seg | {"id": f"{seg.get('id') or f'seg_{i:04d}'}~label", "text": label})
+            out.append(_forced(seg, hit[1], f"label-associated-split:{hit[0].replace(' ', '-')}") | {"id": f"{seg.get('id') or f'seg_{i:04d}'}~value", "text": value})
+        else:
+            out.append(seg)
+            if hit := bare_label(seg["text"]):
+                j = _value_of(segments, i)
+                if j is not None and j not in taken:
+                    taken.add(j)
+                    out.append(_forced(segments[j], hit[1], f"label-associated-neighbor:{hit[0].replace(' ', '-')}"))
+    return _in_tables(out)
+
+
+def _in_tables(segments: list[dict]) -> list[dict]:
+    """Cells under a header, or beside one in its row, that names a secret."""
+    out, cells = list(segments), {}
+
+    def force(j: int, hit: tuple[str, str, bool]) -> None:
+        if not segments[j]["force_redact"] and j not in cells and plausible(segments[j]["text"]):
+            cells[j] = _forced(segments[j], hit[1], f"label-associated-table:{hit[0].replace(' ', '-')}")
+
+    for i, seg in enumerate(segments):
+        if seg["force_redact"]:
             continue
-        kind = find_secret(label["text"])[1]
-        row = _row(label["dom_path"])
-        skipped = 0
-        for j in texts[at + 1 :]:
-            seg = out[j]
-            if row and _row(seg["dom_path"]) != row:
-                break
-            near = _scope(seg["dom_path"]) == _scope(label["dom_path"]) or row
-            dots = any(MASK.match(out[k]["text"].replace(" ", "")) for k in texts[max(0, texts.index(j) - 1) : texts.index(j) + 2])
-            usable = seg["tag"] not in ("a", "button") and not re.fullmatch(r"h[1-6]", seg["tag"]) and not MASK.match(seg["text"].replace(" ", "")) and plausible(seg["text"]) and not is_bare_label(seg["text"]) and value_ok(kind, seg["text"]) is not False
-            if usable and (near or dots):
-                seg |= {"force_redact": True, "force_reason": "label-neighbour", "forced_type": kind}
-                break
-            skipped += 1
-            if skipped > (skips if near and not dots else crossing):
-                break
+        head = seg["hint"].get("table_header") or ""
+        if (hit := find_secret(head)) and seg["tag"] != "th" and seg["text"].strip() != head.strip():
+            force(i, hit)
+        elif seg["tag"] == "th" and (hit := find_secret(seg["text"])) and (row := _row(seg["dom_path"])):
+            for j in range(i + 1, len(segments)):
+                if _row(segments[j]["dom_path"]) != row:
+                    break
+                if segments[j]["tag"] == "td" or segments[j]["kind"] == "form_value":
+                    force(j, hit)
+                    break
+    for j, seg in cells.items():
+        out[j] = seg
     return out
