@@ -23,6 +23,16 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: a checkpoint where the session has a folder for them, else
+    persisted (and computed anew where an executor that holds a part is lost)."""
+    sc = df.sparkSession.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+        return df.checkpoint()
+    return df.persist()
+
+
 def none() -> Column:
     return F.array().cast(SPANS)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +40,17 @@ def _key(label: str) -> str:
 
 #: Longest key first, so that the most specific label wins.
 _BY_LENGTH = sorted(((_key(a), a, b) for a, b in FIELD_LABELS), key=lambda x: -len(x[0]))
+#: A text whose key is longer covers no label.
+LONGEST = int(len(_BY_LENGTH[0][0]) / 0.4)
+#: What a key has that holds a label, and one that differs from a label in two places at most: of
+#: the label's three parts one at least is the same at the same place.
+_HOLDS = "|".join(re.escape(k) for k, _, _ in _BY_LENGTH)
+_NEAR = "^(?:" + "|".join(sorted({f".{{{i}}}{re.escape(k[i:j])}" for k, _, _ in _BY_LENGTH if len(k) >= 6 for i, j in ((len(k) * p // 3, len(k) * (p + 1) // 3) for p in range(3))})) + ")"
 #: The vocabularies are arrays of rows, so that one expression serves all entries.
 
 
 def _vocabulary(rows: list[tuple[str, str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), F.lit(kind).alias("type")) for k, label, kind in rows])
+    return F.from_json(F.lit(json.dumps([{"key": k, "label": label, "type": kind} for k, label, kind in rows])), "array<struct<key:string,label:string,type:string>>")
 
 
 def _hit(entry: Column, weak: bool) -> Column:
@@ -75,8 +82,8 @@ def field_label(text: Column) -> Column:
         return F.when(near, differ <= 2).otherwise(False)
 
     words = _vocabulary(_BY_LENGTH)
-    longest = int(len(_BY_LENGTH[0][0]) / 0.4)  # a longer text covers no label
-    return F.when(n.between(3, longest), F.coalesce(_hit(_first(F.filter(words, fits)), False), _hit(_first(F.filter(words, close)), False)))
+    may = key.rlike(_HOLDS) | F.lit("|".join(k for k, _, _ in _BY_LENGTH)).contains(key) | key.rlike(_NEAR)
+    return F.when(n.between(3, LONGEST) & may, F.coalesce(_hit(_first(F.filter(words, fits)), False), _hit(_first(F.filter(words, close)), False)))
 
 
 def field_label_weak(text: Column) -> Column:

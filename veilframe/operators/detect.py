@@ -93,11 +93,13 @@ def self_audit(df: DataFrame, text: str = "text", model: DataFrame | None = None
         out = out.join(found, list(keys), "left")
         out = S.once(out, "veil_model", S.resolve_leftmost(S.without_holes(F.col("redacted"), F.coalesce("veil_model", S.none()))))
         out = S.once(out, "redacted", S.redact(F.col("redacted"), F.col("veil_model"))).drop("veil_model")
-    for _ in range(passes):
-        out = S.once(out, "veil_again", all_spans(F.col("redacted")))
-        out = S.once(out, "veil_again", S.resolve_leftmost(S.without_holes(F.col("redacted"), F.col("veil_again"))))
-        out = S.once(out, "redacted", S.redact(F.col("redacted"), F.col("veil_again"))).drop("veil_again")
-    out = S.once(out, "veil_again", all_spans(F.col("redacted")))
-    dirty = F.size(S.without_holes(F.col("redacted"), F.col("veil_again"))) > 0
-    out = S.once(out, "blocked", F.coalesce(dirty, F.lit(False))).drop("veil_again")
+    # a text that the last step did not change has nothing new in it
+    out = S.once(out, "veil_left", F.lit(True) if model is not None else F.size("detections") > 0)
+    for step in range(passes + 1):
+        out = S.once(out, "veil_again", F.when(F.col("veil_left"), all_spans(F.col("redacted"))).otherwise(S.none()))
+        out = S.once(out, "veil_again", F.when(F.size("veil_again") > 0, S.resolve_leftmost(S.without_holes(F.col("redacted"), F.col("veil_again")))).otherwise(S.none()))
+        out = S.once(out, "veil_left", F.coalesce(F.size("veil_again") > 0, F.lit(False)))
+        if step < passes:
+            out = S.once(out, "redacted", S.redact(F.col("redacted"), F.col("veil_again")))
+    out = out.withColumnRenamed("veil_left", "blocked").drop("veil_again")
     return out.withColumn("redacted", F.when(~F.col("blocked"), F.col("redacted"))).withColumn("reason", F.when(F.col("blocked"), "residual-pii-after-audit"))

@@ -104,8 +104,10 @@ def vertical(ordered: DataFrame, keys: list[str]) -> DataFrame:
 
 def multi_line(ordered: DataFrame, keys: list[str]) -> DataFrame:
     """Labels over two rows; the value behind a colon in the second (0.88) or in the third (0.86)."""
-    on = [F.col(f"u.{k}") == F.col(f"m.{k}") for k in keys] + [F.col("u.row") + 1 == F.col("m.row")]
-    pairs = ordered.alias("u").join(ordered.alias("m"), on)
+    # a label's key is that of its parts with a space between, so that long pairs are left out before
+    sized = S.once(ordered, "key_length", F.length(T.label_key(F.col("text"))))
+    on = [F.col(f"u.{k}") == F.col(f"m.{k}") for k in keys] + [F.col("u.row") + 1 == F.col("m.row"), F.col("u.key_length") + F.col("m.key_length") < A.LONGEST]
+    pairs = sized.alias("u").join(sized.alias("m"), on)
     pairs = pairs.select(*[F.col(f"u.{k}").alias(k) for k in keys], F.col("u.id").alias("u_id"), F.col("m.id").alias("m_id"), F.col("m.text").alias("m_text"), F.col("m.box").alias("m_box"), F.col("m.row").alias("m_row"), F.concat_ws(" ", "u.text", "m.text").alias("both"))
     found = S.once(pairs, "hit", A.field_label(F.col("both"))).where("hit is not null")
     after = F.trim(F.regexp_extract("m_text", r"(?s)^[^:]*:(.*)$", 1))
@@ -146,25 +148,25 @@ def row_formats(ordered: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def labeled_first(labeled: DataFrame, formats: DataFrame, keys: list[str]) -> DataFrame:
-    """Formats that no labeled candidate has: neither the same value nor one within the other in a
-    shared item."""
+    """Formats that no labeled candidate has in a shared item: the same value, or one within the
+    other, whatever the case and the punctuation at the edges."""
     l, f = labeled.alias("l"), formats.alias("f")
-    x, y = T.flat(T.candidate_key(F.col("l.value"))), T.flat(T.candidate_key(F.col("f.value")))
-    same = [F.col(f"l.{k}") == F.col(f"f.{k}") for k in keys]
-    return f.join(l, [*same, (x == y) | (F.arrays_overlap("l.ids", "f.ids") & (x.contains(y) | y.contains(x)))], "left_anti")
+    x, y = (F.lower(T.strip_edges(F.col(f"{c}.value"))) for c in "lf")
+    within = (x == y) | ((x != "") & (y != "") & (x.contains(y) | y.contains(x)))
+    return f.join(l, [*[F.col(f"l.{k}") == F.col(f"f.{k}") for k in keys], F.arrays_overlap("l.ids", "f.ids"), within], "left_anti")
 
 
 def dedupe(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One candidate for each (type, value): the surest; ties by items, then reason."""
-    order = W.partitionBy(*keys, "field_type", T.candidate_key(F.col("value"))).orderBy(F.desc("confidence"), F.array_join("ids", ","), "reason")
+    order = W.partitionBy(*keys, "field_type", "value").orderBy(F.desc("confidence"), F.array_join("ids", ","), "reason")
     return candidates.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
 def field_candidates(items: DataFrame, keys: list[str]) -> DataFrame:
     """All candidates of images: labels with values by line, row and column, and formats."""
-    ordered = with_labels(reading_order(items, keys))
-    labeled = same_line(items, keys).unionByName(side_by_side(ordered, keys)).unionByName(vertical(ordered, keys)).unionByName(multi_line(ordered, keys))
-    formats = item_formats(items, keys).unionByName(row_formats(ordered, keys)).unionByName(cross_item(ordered, keys))
+    ordered = S.kept(with_labels(reading_order(items, keys)))
+    labeled = same_line(ordered, keys).unionByName(side_by_side(ordered, keys)).unionByName(vertical(ordered, keys)).unionByName(multi_line(ordered, keys))
+    formats = item_formats(ordered, keys).unionByName(row_formats(ordered, keys)).unionByName(cross_item(ordered, keys))
     return dedupe(labeled.unionByName(labeled_first(labeled, formats, keys)), keys)
 
 

@@ -38,6 +38,11 @@ def rebuild(segs: DataFrame, text: str = "redacted") -> DataFrame:
     items or cells, a space between inline parts of a block. Attributes and form values are lines."""
     part = F.struct("seg_ord", F.col(text).alias("t"), "block_role", "kind")
     lists = segs.groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return lists.select("page_id", _document(F.col("parts")).alias("document"))
+
+
+def _document(parts: Column) -> Column:
+    """One text of parts (t, block_role, kind) in order."""
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("last"))
 
     def add(s: Column, p: Column) -> Column:
@@ -45,7 +50,7 @@ def rebuild(segs: DataFrame, text: str = "redacted") -> DataFrame:
         gap = F.when(s.out == "", "").when((role == "inline") & (s["last"] == "inline"), " ").when(role.isin("list_item", "table_cell", "line") & (s["last"] == role), "\n").otherwise("\n\n")
         return F.struct(F.concat(s.out, gap, p.t).alias("out"), role.alias("last"))
 
-    return lists.select("page_id", F.aggregate("parts", start, add, lambda s: s.out).alias("document"))
+    return F.aggregate(parts, start, add, lambda s: s.out)
 
 
 def read_page(pages: DataFrame) -> DataFrame:
@@ -54,9 +59,11 @@ def read_page(pages: DataFrame) -> DataFrame:
     Pages without any segment have an empty text; null pages report an error.
     """
     segs = redact_segments(segments(pages, associate=True))
-    finds = segs.select("page_id", "seg_ord", F.col("id").alias("segment_id"), "hint", F.explode("findings").alias("f"))
-    finding = F.struct("seg_ord", F.col("f.type").alias("type"), F.col("f.source").alias("source"), F.col("f.confidence").alias("confidence"), "segment_id", F.col("f.forced").alias("force_redacted"), F.col("hint").alias("structural_hint"))
-    finds = finds.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(finding)), lambda x: x.dropFields("seg_ord")).alias("findings"))
-    out = pages.select("page_id", F.col("html").isNull().alias("bad")).join(rebuild(segs), "page_id", "left").join(finds, "page_id", "left")
-    none = F.from_json(F.lit("[]"), finds.schema["findings"].dataType)
+    part = F.struct("seg_ord", F.col("redacted").alias("t"), "block_role", "kind", F.col("id").alias("segment_id"), "hint", "findings")
+    lists = segs.groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    finding = lambda p, f: F.struct(f.type.alias("type"), f.source.alias("source"), f.confidence.alias("confidence"), p.segment_id.alias("segment_id"), f.forced.alias("force_redacted"), p.hint.alias("structural_hint"))
+    finds = F.flatten(F.transform("parts", lambda p: F.transform(p.findings, lambda f: finding(p, f))))
+    found = lists.select("page_id", _document(F.col("parts")).alias("document"), finds.alias("findings"))
+    out = pages.select("page_id", F.col("html").isNull().alias("bad")).join(found, "page_id", "left")
+    none = F.from_json(F.lit("[]"), found.schema["findings"].dataType)
     return out.select("page_id", F.when(F.col("bad"), "error").otherwise("ok").alias("status"), F.coalesce("document", F.lit("")).alias("sanitized_text"), F.coalesce("findings", none).alias("findings"))

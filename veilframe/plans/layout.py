@@ -97,9 +97,13 @@ def _candidates(spark, sf_dir):
     """Detections as a model's findings and formats as deterministic ones, on the same items."""
     items = _items_of_documents(spark, sf_dir)
     tier0 = S.once(items, "d", D.all_spans(F.col("text"))).withColumn("s", F.explode("d"))
-    model = tier0.select("doc_id", F.lit("ner").alias("source"), F.array("id").alias("ids"), F.col("text").alias("text"), F.lit(None).cast("string").alias("label"), F.col("s.type").alias("type"), (F.col("s.confidence") * 0.9).alias("confidence"), "box", (F.col("ord") * 1000 + F.col("s.start")).alias("ord"))
-    exact = tier0.select("doc_id", F.lit("deterministic_context").alias("source"), F.array("id").alias("ids"), F.col("s.value").alias("text"), F.lit("value").alias("label"), F.col("s.type").alias("type"), F.col("s.confidence").alias("confidence"), G.sub_box(F.col("box"), F.col("text"), F.col("s.value")).alias("box"), (F.col("ord") * 1000 + F.col("s.start") + 500).alias("ord"))
-    return model.unionByName(exact)
+    made = lambda source, text, label, share, box, at: F.struct(
+        F.lit(source).alias("source"), F.array("id").alias("ids"), text.alias("text"), F.lit(label).cast("string").alias("label"), F.col("s.type").alias("type"),
+        (F.col("s.confidence") * share).alias("confidence"), box.alias("box"), (F.col("ord") * 1000 + F.col("s.start") + at).alias("ord"),
+    )
+    model = made("ner", F.col("text"), None, 0.9, F.col("box"), 0)
+    exact = made("deterministic_context", F.col("s.value"), "value", 1.0, G.sub_box(F.col("box"), F.col("text"), F.col("s.value")), 500)
+    return tier0.select("doc_id", F.explode(F.array(model, exact)).alias("c")).select("doc_id", "c.*")
 
 
 def _items_of_documents(spark, sf_dir):
