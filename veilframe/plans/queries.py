@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import actions, evaluation, layout, models, pages, stats, texts
+from . import actions, cases, evaluation, layout, models, pages, stats, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (texts, pages, layout, evaluation, stats, actions, models):
+for _part in (texts, pages, layout, evaluation, stats, actions, models, cases):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import validators as V
 from ..functions.patterns import BY_ID, EXTRA, TIER0, UNLABELED, Pattern
 from ..operators import detect as D
+from .cases import DETECTORS, values
 from .common import docs, table
 
 QUERIES: dict = {}
@@ -35,9 +36,20 @@ def _sql_count(p: Pattern) -> str:
     return f"len(regexp_extract_all(text, '{quote}'))"
 
 
+def _with_cases(spark, sf_dir, id_: str):
+    """The documents, and the detector's fixed cases with negative ids."""
+    rows = [(-1 - i, text) for i, (text, _) in enumerate(DETECTORS.get(id_, ()))]
+    return docs(spark, sf_dir).union(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) if rows else docs(spark, sf_dir)
+
+
+def _and_cases(sql: str, id_: str) -> str:
+    rows = [(-1 - i, n) for i, (_, n) in enumerate(DETECTORS.get(id_, ())) if n]
+    return f"SELECT doc_id, n_matches FROM ({sql}) UNION ALL SELECT doc_id, CAST(n AS BIGINT) FROM ({values(rows, 'doc_id, n')})" if rows else sql
+
+
 def _detector(p: Pattern):
     def query(spark, sf_dir):
-        return docs(spark, sf_dir).select("doc_id", S.count(F.col("text"), p).alias("n_matches")).where("n_matches > 0")
+        return _with_cases(spark, sf_dir, p.id).select("doc_id", S.count(F.col("text"), p).alias("n_matches")).where("n_matches > 0")
 
     return query
 
@@ -61,6 +73,11 @@ SELECT doc_id, count(*) AS n_matches FROM n WHERE r = 1 GROUP BY doc_id
 """
 
 
+for _p in TIER0:
+    if (_name := f"{_p.id.lower()}_{_p.type.lower()}") in SQL:
+        SQL[_name] = _and_cases(SQL[_name], _p.id)
+
+
 def p31_placeholders(spark, sf_dir):
     from ..functions.patterns import MODEL_TYPES
 
@@ -85,7 +102,7 @@ def _format(kind: str):
     def query(spark, sf_dir):
         found = S.matches(F.col("text"), [(p, 0) for p in UNLABELED if p.id == kind], "format", check=False)
         ok = F.filter(found, lambda s: D.unlabeled_ok(s.type, s.value))
-        return docs(spark, sf_dir).select("doc_id", F.size(ok).cast("long").alias("n_matches")).where("n_matches > 0")
+        return _with_cases(spark, sf_dir, kind).select("doc_id", F.size(ok).cast("long").alias("n_matches")).where("n_matches > 0")
 
     return query
 
@@ -100,7 +117,7 @@ for _name, _sql in {
     "p41_unlabeled_tracking": r"len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) IN (12, 15, 20, 21, 22))) + len(regexp_extract_all(text, '(?i)\b1Z(?:\s?[A-Z0-9]){16}\b'))",
     "p42_unlabeled_vat": r"len(regexp_extract_all(text, '(?i)\bGB\s?[0-9]{3}\s?[0-9]{4}\s?[0-9]{2}\b')) + len(regexp_extract_all(text, '(?i)\b(?:DE|FR|IT|ES|NL|BE|IE|AT|DK|SE|FI|PT|GR|PL|CZ|HU)\s?[0-9][A-Z0-9]{7,11}\b'))",
 }.items():
-    SQL[_name] = f"SELECT doc_id, n_matches FROM (SELECT doc_id, CAST({_sql} AS BIGINT) AS n_matches FROM documents) WHERE n_matches > 0"
+    SQL[_name] = _and_cases(f"SELECT doc_id, n_matches FROM (SELECT doc_id, CAST({_sql} AS BIGINT) AS n_matches FROM documents) WHERE n_matches > 0", _name.split("_")[0].upper())
 
 
 def l8_unlabeled_formats(spark, sf_dir):
@@ -162,7 +179,7 @@ def v5_validate(spark, sf_dir):
     checked = [p for p in TIER0 if p.type in ("CARD_NUMBER", "AADHAAR", "IBAN", "IP_ADDRESS")]
     text = F.col("text")
     shapes = [F.struct(F.lit(p.type).alias("type"), F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("values")) for p in checked]
-    rows = docs(spark, sf_dir).where(text.rlike("[0-9]{4}|[0-9][.][0-9]")).select(F.explode(F.array(*shapes)).alias("x")).select("x.type", F.explode("x.values").alias("value"))
+    rows = docs(spark, sf_dir).where(text.rlike("[0-9]")).select(F.explode(F.array(*shapes)).alias("x")).select("x.type", F.explode("x.values").alias("value"))
     return rows.groupBy("type").agg(F.count("*").alias("n_shape"), F.count_if(V.valid_match(F.col("type"), F.col("value"))).alias("n_valid"))
 
 
@@ -345,12 +362,12 @@ SQL["t7_match_key"] = r"SELECT conv_id, turn, regexp_replace(regexp_replace(rege
 
 def t9_value_pattern(spark, sf_dir):
     """Benchmark items as patterns that hold whatever the white space between their words."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("value"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"))
     found = items.select("item_id", "value", T.value_pattern(F.col("value")).alias("pattern"))
     return found.select("item_id", F.length("pattern").cast("long").alias("n_pattern"), F.expr("rlike(regexp_replace(value, ' ', '  '), pattern)").alias("holds"))
 
 
-SQL["t9_value_pattern"] = r"SELECT item_id, CAST(sum(length(w) + 4) + 3 * (count(*) - 1) AS BIGINT) AS n_pattern, true AS holds FROM (SELECT item_id, unnest(regexp_split_to_array(trim(split_part(text, '.', 1)), '\s+')) AS w FROM benchmark) GROUP BY item_id"
+SQL["t9_value_pattern"] = r"SELECT item_id, CAST(sum(length(w) + 4) + 3 * (count(*) - 1) AS BIGINT) AS n_pattern, true AS holds FROM (SELECT item_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM benchmark) GROUP BY item_id"
 
 
 def t14_caption(spark, sf_dir):
@@ -361,12 +378,13 @@ def t14_caption(spark, sf_dir):
 
 
 def t18_softmax(spark, sf_dir):
-    """Softmax over each embedding's first four values, as an example of logits."""
+    """The largest part of the softmax over each embedding's values, as an example of logits."""
     vectors = table(spark, sf_dir, "embeddings")
-    vec = next(c for c, t in vectors.dtypes if t.startswith("array"))
-    key = next(c for c in vectors.columns if c != vec)
-    p = T.softmax(F.transform(F.slice(vec, 1, 4), lambda x: x.cast("double")))
-    return vectors.select(key, F.round(F.array_max(p), 6).alias("p_max"))
+    p = T.softmax(F.transform("embedding", lambda x: x.cast("double")))
+    return vectors.select("vec_id", F.round(F.array_max(p), 6).alias("p_max"))
+
+
+SQL["t18_softmax"] = "SELECT vec_id, round(1 / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS p_max FROM embeddings"
 
 
 def a1_type_histogram(spark, sf_dir):
