@@ -78,3 +78,15 @@ def test_distinct_requests(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("distinct_requests").count() == 2
+
+
+def test_requests_on_a_stream(spark, tmp_path):
+    rows = [("a", "1", 0.0, "request"), ("a", "1", 1.0, "request"), ("a", "1", 2.0, "response"), ("a", "1", 3.0, "response"), ("a", "2", 4.0, "request"), ("a", "", 5.0, "close"), ("a", "2", 6.0, "response")]
+    spark.createDataFrame(rows, "client string, id string, at double, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("client string, id string, at double, kind string").parquet(str(tmp_path / "in"))
+    run = M.stream_requests(stream).writeStream.format("memory").queryName("requests").outputMode("append").start()
+    run.processAllAvailable()
+    run.stop()
+    got = [r.outcome for r in spark.table("requests").orderBy("at").collect()]
+    assert got == ["sent", "duplicate-id", "answered", "dropped", "sent", "swept 1", "dropped"]
+    assert sorted(r.outcome for r in M.replay_requests(spark.createDataFrame(rows, "client string, id string, at double, kind string")).collect()) == sorted(got)

@@ -72,3 +72,50 @@ def resolve_refs(refs: DataFrame, now: DataFrame) -> DataFrame:
     out = refs.join(n, ["page_id", "dom_path"], "left")
     state = F.when(F.col("now_tag").isNull(), "stale-gone").when(F.col("now_tag") != F.col("tag"), "stale-tag").when(~F.col("now_label").eqNullSafe(F.col("label")), "stale-label").otherwise("ok")
     return out.withColumn("state", state).drop("now_tag", "now_label")
+
+
+#: Tools that act on an element, and inputs that text can be typed into.
+REF_TOOLS = ("click", "type", "select_option", "submit")
+
+
+def preview(actions: DataFrame, elements: DataFrame) -> DataFrame:
+    """actions (page_id, tool, ref) with reason (null if it could be done) and what it would act on:
+    tag, label, text, input_type and is_form_submit, as gate() takes them."""
+    e = elements.select("page_id", "ref", "tag", "label", "text", "input_type", "is_submit", "has_form", "options")
+    out = actions.drop("tag", "label", "input_type", "is_form_submit").withColumnRenamed("text", "typed").join(e, ["page_id", "ref"], "left")
+    acts = F.coalesce(F.col("tool").isin(*REF_TOOLS), F.lit(False))
+    scroll = F.coalesce(F.col("tool") == "scroll", F.lit(False))
+    reason = F.when(scroll, F.lit(None)).when(~acts, "unsupported-tool").when(F.col("tag").isNull(), "unknown-ref")
+    known = lambda c: F.when(reason.isNull() & ~scroll, F.coalesce(c, F.lit("")))
+    submits = F.when(reason.isNull(), F.coalesce(~scroll & ((F.col("tool") == "submit") | F.col("is_submit")), F.lit(False)))
+    return out.withColumns({"reason": reason, "label": known(F.col("label")), "text": known(F.col("text")), "input_type": known(F.col("input_type")), "is_form_submit": submits})
+
+
+def execution(actions: DataFrame, elements: DataFrame) -> DataFrame:
+    """actions (page_id, tool, ref, and text, value, direction as the tool wants) with reason: why
+    it cannot be done, or null."""
+    out = preview(actions, elements)
+    typeable = (F.col("tag") == "textarea") | ((F.col("tag") == "input") & F.col("input_type").isin(*SAFE_INPUTS))
+    wrong = (
+        F.when(F.col("tool") == "scroll", F.when(~F.coalesce(F.col("direction").isin("up", "down"), F.lit(False)), "bad-arguments"))
+        .when(F.col("tool") == "type", F.when(F.col("typed").isNull(), "bad-arguments").when(~typeable, "not-typeable"))
+        .when(F.col("tool") == "select_option", F.when(F.col("tag") != "select", "not-typeable").when(F.col("value").isNull(), "bad-arguments").when(~F.array_contains("options", F.col("value")), "invalid-option"))
+        .when(F.col("tool") == "submit", F.when(~F.col("has_form"), "no-form"))
+    )
+    return out.withColumn("reason", F.coalesce("reason", wrong)).select(*[c for c in actions.columns if c != "text"], F.col("typed").alias("text"), "reason")
+
+
+def hello(messages: DataFrame, paired: DataFrame) -> DataFrame:
+    """messages (token, role) with status: welcome and the client's id where the token is known and
+    the role (extension if null) is the client's, else unauthorized."""
+    known = paired.select(F.col("token"), F.col("client_id"), F.coalesce("role", F.lit("extension")).alias("paired_role"))
+    out = messages.join(known, "token", "left")
+    ok = F.coalesce(F.col("paired_role") == F.when(F.col("role") == "agent", "agent").otherwise("extension"), F.lit(False))
+    return out.select(*messages.columns, F.when(ok, "welcome").otherwise("unauthorized").alias("status"), F.when(ok, F.col("client_id")).alias("client_id"))
+
+
+def target_socket(sockets: DataFrame, keys: list[str]) -> DataFrame:
+    """The socket (client_id) that a bridge's calls go to: of the open, authenticated ones of
+    extensions the one active last."""
+    able = sockets.where(F.col("authenticated") & F.col("open") & (F.col("role") == "extension"))
+    return able.groupBy(*keys).agg(F.max_by("client_id", F.struct(F.coalesce("last_active", F.lit(0)), "client_id")).alias("client_id"))

@@ -12,11 +12,13 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..functions import validators as V
 from ..functions.patterns import EXTRA, TIER0, UNLABELED
+from ..operators import actions as X
 from ..operators import detect as D
 from ..operators import fuse as U
 from ..operators import layout as L
 from ..operators import pages as P
-from ..sources.html import segments
+from ..sources.html import elements, segments
+from ..streaming import streams as M
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -312,4 +314,80 @@ def a2_cases(spark, sf_dir):
 
 SQL["a2_cases"] = "SELECT CAST(doc_id AS INT) AS doc_id, text, sources FROM (" + values([(k, *x) for k, (_, left) in enumerate(FINDINGS) for x in left], "doc_id, text, sources") + ")"
 
-QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases)}
+#: A page's elements: ref, tag, role, label, type, and whether they submit a form.
+FORM = (
+    '<a href="/x">Go <b>there</b></a><a>none</a><form><label for="q">Find it</label><input id="q" name="qq" type="search"><input type="hidden" value="t"><button>Send</button>'
+    '<button type="button" aria-label="Close">x</button><input type="checkbox" name="ok"><select title="Pick"><option value="a">A</option><option>B</option></select></form>'
+    '<div role="button">Tap</div><button hidden>no</button><textarea placeholder="Say"></textarea><button>Free</button>'
+)
+ELEMENTS = (
+    ("el_1", "a", "link", "Go there", "", False), ("el_2", "input", "textbox", "Find it", "search", False), ("el_3", "button", "button", "Send", "", True), ("el_4", "button", "button", "Close", "", False),
+    ("el_5", "input", "checkbox", "ok", "checkbox", False), ("el_6", "select", "combobox", "A B", "select", False), ("el_7", "div", "button", "Tap", "", False), ("el_8", "textarea", "textbox", "Say", "textarea", False),
+    ("el_9", "button", "button", "Free", "", False),
+)
+
+
+def t13_cases(spark, sf_dir):
+    """The elements of a fixed page."""
+    return elements(_page_rows(spark, [(FORM,)])).select("ref", "tag", "role", "label", "input_type", "is_submit")
+
+
+SQL["t13_cases"] = values(ELEMENTS, "ref, tag, role, label, input_type, is_submit")
+
+#: Actions on that page (tool, ref, text, value, direction), why they cannot be done, and whether
+#: they submit a form.
+ACTIONS = (
+    ("click", "el_3", None, None, None, None, True), ("click", "el_1", None, None, None, None, False), ("click", "el_99", None, None, None, "unknown-ref", None), ("fly", "el_1", None, None, None, "unsupported-tool", None),
+    ("type", "el_2", "hi", None, None, None, False), ("type", "el_2", None, None, None, "bad-arguments", False), ("type", "el_5", "hi", None, None, "not-typeable", False), ("type", "el_8", "hi", None, None, None, False),
+    ("select_option", "el_6", None, "a", None, None, False), ("select_option", "el_6", None, "B", None, None, False), ("select_option", "el_6", None, "C", None, "invalid-option", False), ("select_option", "el_6", None, None, None, "bad-arguments", False),
+    ("select_option", "el_2", None, "a", None, "not-typeable", False), ("submit", "el_2", None, None, None, None, True), ("submit", "el_9", None, None, None, "no-form", True), ("scroll", None, None, None, "down", None, False),
+    ("scroll", None, None, None, "left", "bad-arguments", False), ("click", None, None, None, None, "unknown-ref", None),
+)
+
+
+def c3_cases(spark, sf_dir):
+    """Previews and checks of fixed actions."""
+    rows = spark.createDataFrame([(i, 0, *a[:5]) for i, a in enumerate(ACTIONS)], "n_case int, page_id long, tool string, ref string, text string, value string, direction string")
+    found = elements(_page_rows(spark, [(FORM,)]))
+    seen = X.preview(rows, found).select("n_case", "is_form_submit")
+    return X.execution(rows, found).join(seen, "n_case").select("n_case", "tool", "reason", "is_form_submit")
+
+
+SQL["c3_cases"] = "SELECT CAST(n_case AS INT) AS n_case, tool, reason, is_form_submit FROM (" + values([(i, a[0], a[5], a[6]) for i, a in enumerate(ACTIONS)], "n_case, tool, reason, is_form_submit") + ")"
+
+#: Messages of clients (client, id, at, kind) and what becomes of them.
+MESSAGES = (
+    ("a", "1", 0.0, "request", "sent"), ("a", "1", 1.0, "request", "duplicate-id"), ("b", "1", 1.0, "request", "sent"), ("a", "1", 2.0, "response", "answered"), ("a", "1", 3.0, "response", "dropped"),
+    ("a", "1", 4.0, "request", "sent"), ("a", "2", 5.0, "request", "sent"), ("a", "", 6.0, "close", "swept 2"), ("a", "1", 7.0, "response", "dropped"), ("b", "1", 70.0, "response", "dropped"), ("b", "1", 71.0, "request", "sent"),
+)
+
+
+def m3_cases(spark, sf_dir):
+    """Outcomes of fixed messages."""
+    return M.replay_requests(spark.createDataFrame([m[:4] for m in MESSAGES], "client string, id string, at double, kind string"))
+
+
+SQL["m3_cases"] = "SELECT client, id, CAST(\"at\" AS DOUBLE) AS \"at\", kind, outcome FROM (" + values(MESSAGES, 'client, id, "at", kind, outcome') + ")"
+
+#: Greetings (token, role) and their answers, given two paired clients.
+GREETINGS = (("t1", None, "welcome", "ext-1"), ("t1", "agent", "unauthorized", None), ("t2", "agent", "welcome", "agent-1"), ("t2", None, "unauthorized", None), ("no", None, "unauthorized", None), (None, None, "unauthorized", None))
+
+
+def m15_cases(spark, sf_dir):
+    """Fixed greetings."""
+    paired = spark.createDataFrame([("t1", "ext-1", None), ("t2", "agent-1", "agent")], "token string, client_id string, role string")
+    return X.hello(spark.createDataFrame([g[:2] for g in GREETINGS], "token string, role string"), paired)
+
+
+SQL["m15_cases"] = values(GREETINGS, "token, role, status, client_id")
+
+
+def k7_cases(spark, sf_dir):
+    """The socket that gets the calls of a bridge."""
+    rows = [("x", "ext-1", "extension", True, True, 5), ("x", "ext-2", "extension", True, True, 9), ("x", "ext-3", "extension", True, False, 12), ("x", "agent-1", "agent", True, True, 20), ("y", "ext-4", "extension", False, True, 1)]
+    return X.target_socket(spark.createDataFrame(rows, "bridge string, client_id string, role string, authenticated boolean, open boolean, last_active long"), ["bridge"])
+
+
+SQL["k7_cases"] = "SELECT 'x' AS bridge, 'ext-2' AS client_id"
+
+QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases)}

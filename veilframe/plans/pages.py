@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import associate as A
 from ..operators import pages as P
-from ..sources.html import segments
+from ..sources.html import elements, segments
 from .common import spread, table
 
 QUERIES: dict = {}
@@ -154,13 +154,7 @@ def l2_field_labels(spark, sf_dir):
 
 def f7_interactive(spark, sf_dir):
     """Interactive elements by page with stable references, once for each path and tag."""
-    from pyspark.sql import Window as W
-
-    segs = segments(_pages(spark, sf_dir))
-    able = segs.where("(tag = 'a' and href is not null) or tag in ('button', 'select', 'textarea') or (tag = 'input' and coalesce(input_type, '') <> 'hidden')")
-    one = able.groupBy("page_id", "tag", "dom_path").agg(F.min("seg_ord").alias("seg_ord"), F.min_by("text", "seg_ord").alias("label"))
-    n = F.row_number().over(W.partitionBy("page_id").orderBy("seg_ord")) - 1
-    return one.select("page_id", F.concat(F.lit("el_"), n.cast("string")).alias("ref"), "tag", F.substring("label", 1, 60).alias("label"), "dom_path")
+    return elements(_pages(spark, sf_dir)).select("page_id", "ref", "tag", "role", "label", "dom_path")
 
 
 QUERIES |= {

@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SEGMENTS = (
     "page_id long, seg_ord int, id string, kind string, tag string, attr string, text string, block_role string, force_redact boolean, force_reason string, forced_type string, "
@@ -48,12 +49,12 @@ def _clean(text: str) -> str:
 
 
 class _Node:
-    __slots__ = ("attrs", "cells", "children", "header", "hidden", "label", "path", "table", "tag", "text")
+    __slots__ = ("attrs", "cells", "children", "header", "hidden", "label", "options", "path", "table", "tag", "text")
 
     def __init__(self, tag, attrs, path, hidden):
         self.tag, self.attrs, self.path, self.hidden = tag, attrs, path, hidden
         self.children, self.cells, self.header, self.table = {}, 0, {}, None
-        self.label, self.text = None, []
+        self.label, self.text, self.options = None, [], []
 
 
 class _Walker(HTMLParser):
@@ -66,6 +67,7 @@ class _Walker(HTMLParser):
         self.labels: dict[str, list[str]] = {}  # for id -> texts
         self.by_id: dict[str, list[str]] = {}
         self.controls: list[tuple[dict, _Node, _Node | None]] = []
+        self.elements: list[tuple[_Node, bool]] = []  # interactive ones, and whether a form holds them
         self.pending: list[str] = []
         self.in_body = False
         self.select: tuple[dict, list] | None = None
@@ -115,6 +117,8 @@ class _Walker(HTMLParser):
         if not self.in_body and tag not in ("title", "meta", "link", "style", "script", "base", "noscript"):
             self.in_body = True  # a body without its tag
         self.stack.append(node)
+        if _interactive(tag, attrs) and not any(n.tag in ("script", "style", "noscript") for n in self.stack):
+            self.elements.append((node, any(n.tag == "form" for n in self.stack[:-1])))
         if self.in_body and not hidden:
             value = attrs.get("value") if tag == "input" else None
             if tag in ("input", "textarea", "select"):
@@ -156,6 +160,10 @@ class _Walker(HTMLParser):
                 self.by_id.setdefault(node.attrs["id"], []).append(text)
             if node.tag == "th" and node.table is not None:
                 node.table.header.setdefault(node.cells, text)
+            if node.tag == "option":
+                for n in self.stack:
+                    if n.tag == "select":
+                        n.options.append(node.attrs.get("value") or text)
             if node.tag == "textarea":
                 for seg, n, _ in self.controls:
                     if n is node:
@@ -186,6 +194,73 @@ class _Walker(HTMLParser):
         return [seg for seg in self.segments if seg["kind"] != "form_value" or seg["text"]]
 
 
+def _interactive(tag: str, attrs: dict) -> bool:
+    """Links with a target, controls, and what has the role of a link or button, unless hidden."""
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (tag == "input" and (attrs.get("type") or "").strip().lower() == "hidden"):
+        return False
+    return bool(attrs.get("href")) if tag == "a" else tag in ("button", "input", "textarea", "select") or attrs.get("role") in ("button", "link")
+
+
+def _role(tag: str, attrs: dict) -> str:
+    if attrs.get("role") in ("button", "link"):
+        return attrs["role"]
+    kind = (attrs.get("type") or "").strip().lower()
+    named = {"a": "link", "button": "button", "select": "combobox", "textarea": "textbox", "input": kind if kind in ("checkbox", "radio") else "textbox"}
+    return named.get(tag, tag)
+
+
+ELEMENTS = (
+    "page_id long, ref string, tag string, role string, label string, text string, input_type string, is_submit boolean, has_form boolean, options array<string>, "
+    "dom_path string, id_attr string, name_attr string"
+)
+
+
+def page_elements(html: str | None) -> list[dict]:
+    """Interactive elements of a page in order, once for each path and tag, with refs el_1, el_2 ...
+
+    Its label is the first of: aria-label, the label for its id, its text, its value, placeholder,
+    name or title; 60 characters of it. A button without a type submits the form that holds it.
+    """
+    walker = _Walker()
+    walker.feed(html or "")
+    walker.close()
+    walker.done()
+    out, seen = [], set()
+    for node, in_form in walker.elements:
+        a, text = node.attrs, _clean(" ".join(node.text))
+        if (node.path, node.tag) in seen:
+            continue
+        seen.add((node.path, node.tag))
+        names = [a.get("aria-label"), *walker.labels.get(a.get("id") or "", [])[:1], text, *(a.get(n) for n in ("value", "placeholder", "name", "title"))]
+        control = node.tag in ("input", "textarea", "select")
+        kind = {"input": (a.get("type") or "text").strip().lower(), "textarea": "textarea", "select": "select"}.get(node.tag, "")
+        typed = (a.get("type") or "").strip().lower()
+        submits = kind in ("submit", "image") if node.tag == "input" else node.tag == "button" and (typed == "submit" if typed else in_form)
+        out.append(
+            {
+                "ref": f"el_{len(out) + 1}", "tag": node.tag, "role": _role(node.tag, a), "label": next((x.strip()[:60] for x in names if x and x.strip()), ""), "text": "" if control else text[:120],
+                "input_type": kind, "is_submit": submits, "has_form": in_form or node.tag == "form", "options": node.options if node.tag == "select" else None,
+                "dom_path": node.path, "id_attr": a.get("id"), "name_attr": a.get("name"),
+            }
+        )
+    return out
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """A row for each interactive element of pages (page_id, html)."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(made)
+        for batch in batches:
+            rows = [e | {"page_id": page} for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in page_elements(html)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    made = StructType.fromDDL(ELEMENTS)
+    return pages.select("page_id", "html").mapInArrow(run, made)
+
+
 def page_segments(html: str | None) -> list[dict]:
     """Segments of a page in order; none for null or empty pages, malformed ones as far as read."""
     walker = _Walker()

@@ -7,6 +7,7 @@ share.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,69 @@ def distinct_requests(requests: DataFrame, late: str = "60 seconds") -> DataFram
     return requests.withWatermark("at", late).dropDuplicatesWithinWatermark(["client", "id"])
 
 
+MESSAGES = "client string, id string, at double, kind string, outcome string"
+
+
+def request_step(pending: dict[str, float], kind: str, id_: str, at: float, timeout: float = 60.0) -> str:
+    """The outcome of a client's message; pending (id to time asked) changes with it.
+
+    A request is sent, or duplicate-id while the same id is pending; a response answers, or is
+    dropped if nothing is pending; after the timeout nothing is; close sweeps all that is pending.
+    """
+    for old in [i for i, asked in pending.items() if at > asked + timeout]:
+        del pending[old]
+    if kind == "close":
+        swept = len(pending)
+        pending.clear()
+        return f"swept {swept}"
+    if kind == "request":
+        if id_ in pending:
+            return "duplicate-id"
+        pending[id_] = at
+        return "sent"
+    return "dropped" if pending.pop(id_, None) is None else "answered"
+
+
+def _requests(pdf: pd.DataFrame, pending: dict[str, float]) -> pd.DataFrame:
+    rows = [(m.client, m.id, m.at, m.kind, request_step(pending, m.kind, m.id, m.at)) for m in pdf.sort_values(["at", "kind", "id"]).itertuples()]
+    return pd.DataFrame(rows, columns=["client", "id", "at", "kind", "outcome"])
+
+
+def replay_requests(messages: DataFrame) -> DataFrame:
+    """Outcomes of messages (client, id, at in seconds, kind: request, response or close) in batch."""
+    chosen = messages.select("client", "id", F.col("at").cast("double").alias("at"), "kind")
+    return chosen.groupBy("client").applyInPandas(lambda pdf: _requests(pdf, {}), MESSAGES)
+
+
+def _timed(events: DataFrame, *keys: str, late: str = "10 minutes") -> DataFrame:
+    """Events with a time of their own for the watermark, which drops those that are later; one
+    second on, as a watermark begins at 0 and drops what is at 0."""
+    at = F.col("at").cast("double")
+    return events.select(*keys, at.alias("at"), "kind", F.timestamp_seconds(at + 1).alias("event_time")).withWatermark("event_time", late)
+
+
+def _until(state: GroupState, at: float) -> None:
+    """Forget the state once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1000))
+
+
+def stream_requests(messages: DataFrame) -> DataFrame:
+    """The same on a stream, in order of time within a batch; a client whose last request is twice the
+    timeout behind the watermark is forgotten."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pending = json.loads(state.get[0]) if state.exists else {}
+        yield _requests(pd.concat(list(batches)), pending)
+        state.update((json.dumps(pending),))
+        _until(state, max(pending.values(), default=0.0) + 2 * 60.0)
+
+    chosen = _timed(messages, "client", "id")
+    return chosen.groupBy("client").applyInPandasWithState(fold, MESSAGES, "pending string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 @dataclass
 class Code:
     """State of one pairing code."""
@@ -87,9 +151,13 @@ def replay_codes(events: DataFrame) -> DataFrame:
 
 
 def stream_codes(events: DataFrame) -> DataFrame:
-    """The same on a stream, events of a batch in order of time."""
+    """The same on a stream, events of a batch in order of time. A code whose last event is
+    twice its lifetime behind the watermark is forgotten."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         code = Code(*state.get) if state.exists else None
         rows = []
         for e in pd.concat(list(batches)).sort_values(["at", "kind"]).itertuples():
@@ -97,7 +165,8 @@ def stream_codes(events: DataFrame) -> DataFrame:
             rows.append((e.code_id, e.at, e.kind, outcome))
         if code is not None:
             state.update((code.made, code.tries, code.locked, code.used))
+            _until(state, rows[-1][1] + 2 * TTL_S)
         yield pd.DataFrame(rows, columns=["code_id", "at", "kind", "outcome"])
 
-    chosen = events.select("code_id", F.col("at").cast("double").alias("at"), "kind")
-    return chosen.groupBy("code_id").applyInPandasWithState(fold, OUTCOMES, "made double, tries int, locked double, used boolean", "append", GroupStateTimeout.NoTimeout)
+    chosen = _timed(events, "code_id")
+    return chosen.groupBy("code_id").applyInPandasWithState(fold, OUTCOMES, "made double, tries int, locked double, used boolean", "append", GroupStateTimeout.EventTimeTimeout)
