@@ -169,3 +169,44 @@ def adjudicate_or_fallback(fused: DataFrame, output: DataFrame, keys: list[str],
     rest = fused.join(good.where("all_valid"), keys, "left_anti").join(valid.select(*keys, "candidate_id", F.lit(True).alias("named")), [*keys, "candidate_id"], "left")
     by_fusion = rest.select(*keys, "candidate_id", "text", F.get("types", F.lit(0)).alias("entity"), F.col("confidence").alias("score"), F.lit("fusion_fallback").alias("decision"), F.coalesce("named", F.lit(False)).alias("salvaged"), F.lit(closed).alias("failed"))
     return by_model.unionByName(by_fusion)
+
+
+def normalize_items(named: DataFrame, fused: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """What a model names, as candidates: named (keys, nth, raw, candidate_id, ids, text, type,
+    confidence, additional) with its candidate found among the fused ones.
+
+    A plain text (raw) is a candidate's id, an item's id or a candidate's text, tried in this order;
+    else it is a text of its own. Other rows go by candidate id, shared items, or text. decision
+    is existing if a fused candidate was found (and the row is not listed as additional).
+    """
+    f = fused.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("candidate_id", "ids", "text", "types", "confidence"))).alias("veil_fused"))
+    o = items.groupBy(*keys).agg(F.collect_list(F.struct("id", "text", "confidence")).alias("veil_lines"))
+    rows = named.join(f, keys, "left").join(o, keys, "left").withColumn("raw", F.trim("raw"))
+    first = lambda rows, fits: F.get(F.filter(rows, fits), F.lit(0))
+    rows = rows.withColumn("line", first("veil_lines", lambda x: x.id == F.col("raw")))
+    rows = rows.withColumn("own", F.when(F.col("raw").isNull(), F.coalesce("ids", F.array().cast("array<string>"))).when(F.col("line").isNotNull(), F.array("raw")).otherwise(F.array().cast("array<string>")))
+    wanted = T.candidate_key(F.coalesce("raw", "text"))
+    by_id = first("veil_fused", lambda c: c.candidate_id == F.coalesce("raw", "candidate_id"))
+    by_item = first("veil_fused", lambda c: F.arrays_overlap(c.ids, F.col("own")))
+    by_text = F.when(F.col("raw").isNull() | F.col("line").isNull(), first("veil_fused", lambda c: (wanted != "") & (T.candidate_key(c.text) == wanted)))
+    rows = rows.withColumn("m", F.coalesce(by_id, by_item, by_text))
+    name = F.coalesce("candidate_id", "m.candidate_id", F.concat(F.lit("model_"), F.coalesce("raw", F.lit("item"))))
+    return rows.select(
+        *keys, "nth", name.alias("candidate_id"), F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("m.ids", "own")).alias("ids"),
+        F.coalesce(F.when(F.col("text") != "", F.col("text")), "m.text", "line.text", "raw", F.lit("")).alias("text"), F.coalesce("type", F.get("m.types", F.lit(0)), F.lit("person")).alias("type"),
+        F.coalesce("confidence", "m.confidence", "line.confidence", F.lit(0.9)).alias("confidence"), F.when(F.col("m").isNotNull() & ~F.coalesce("additional", F.lit(False)), "existing").otherwise("additional").alias("decision"),
+    )
+
+
+def final_regions(candidates: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates of normalize_items() with box, that of the value alone, or why there is none in
+    rejected: label (an item of theirs does not hold the value), line or unresolved."""
+    named = candidates.withColumns({"veil_id": F.col("candidate_id"), "candidate_id": F.col("nth").cast("string"), "box": F.lit(None).cast(G.BOX)})
+    boxed = value_boxes(named, items, keys)
+    it = items.select(*keys, "id", T.candidate_key(F.col("text")).alias("line"))
+    want = T.candidate_key(F.col("text"))
+    held = named.select(*keys, "nth", "text", F.explode("ids").alias("id")).join(it, [*keys, "id"]).where("line <> ''")
+    held = held.groupBy(*keys, "nth").agg(F.bool_or(~F.col("line").contains(want)).alias("label"), F.bool_or(F.col("line").contains(want) & (F.length("line") > F.length(want) + 3)).alias("whole"))
+    none = F.when(F.col("label"), "label").when(F.col("whole"), "line").otherwise("unresolved")
+    out = boxed.join(held, [*keys, "nth"], "left").withColumn("rejected", F.when(F.col("value_box").isNull(), none))
+    return out.select(*keys, "nth", F.col("veil_id").alias("candidate_id"), "ids", "text", "type", "confidence", "decision", F.col("value_box").alias("box"), "rejected")

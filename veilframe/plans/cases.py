@@ -390,4 +390,26 @@ def k7_cases(spark, sf_dir):
 
 SQL["k7_cases"] = "SELECT 'x' AS bridge, 'ext-2' AS client_id"
 
-QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases)}
+#: What a model names (raw, id, items, text, type, confidence), the candidate that it stands for, and
+#: why it has no region.
+NAMED = (
+    ("c0", None, None, None, None, None, "c0", "o0", "ABC123", "CERT", 0.9, "existing", None), ("o1", None, None, None, None, None, "c1", "o1", "Ann", "PERSON", 0.8, "existing", None),
+    ("o2", None, None, None, None, None, "model_o2", "o2", "Total 5", "person", 0.95, "additional", None), (" ann ", None, None, None, None, None, "c1", "o1", "Ann", "PERSON", 0.8, "existing", None),
+    ("zzz", None, None, None, None, None, "model_zzz", "", "zzz", "person", 0.9, "additional", "unresolved"), (None, None, ["o0"], None, None, None, "c0", "o0", "ABC123", "CERT", 0.9, "existing", None),
+    (None, None, None, "x", "PIN", 0.5, "model_item", "", "x", "PIN", 0.5, "additional", "unresolved"), (None, None, ["o2"], "Bob", "NAME", 0.7, "model_item", "o2", "Bob", "NAME", 0.7, "additional", "label"),
+)
+
+
+def l16_cases(spark, sf_dir):
+    """Fixed outputs of a model as candidates, and their regions."""
+    box = (0.0, 0.0, 100.0, 10.0)
+    fused = spark.createDataFrame([(1, "c0", ["o0"], "ABC123", ["CERT"], 0.9), (1, "c1", ["o1"], "Ann", ["PERSON"], 0.8)], "image int, candidate_id string, ids array<string>, text string, types array<string>, confidence double")
+    items = spark.createDataFrame([(1, "o0", "No: ABC123", 0.95, box), (1, "o1", "Ann", 0.95, box), (1, "o2", "Total 5", 0.95, box)], f"image int, id string, text string, confidence double, box {G.BOX}")
+    named = spark.createDataFrame([(1, i, *n[:6], False) for i, n in enumerate(NAMED)], "image int, nth int, raw string, candidate_id string, ids array<string>, text string, type string, confidence double, additional boolean")
+    found = U.final_regions(U.normalize_items(named, fused, items, ["image"]), items, ["image"])
+    return found.select("nth", "candidate_id", F.array_join("ids", ",").alias("ids"), "text", "type", "confidence", "decision", "rejected")
+
+
+SQL["l16_cases"] = "SELECT CAST(nth AS INT) AS nth, candidate_id, ids, text, type, CAST(confidence AS DOUBLE) AS confidence, decision, rejected FROM (" + values([(i, *n[6:]) for i, n in enumerate(NAMED)], "nth, candidate_id, ids, text, type, confidence, decision, rejected") + ")"
+
+QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases, l16_cases)}

@@ -71,3 +71,13 @@ def markdown(df: DataFrame, missing: str = "-") -> str:
     rows = [[missing if v is None else str(v) for v in r] for r in df.collect()]
     head = [f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + [f"| {' | '.join(r)} |" for r in rows]) + "\n"
+
+
+def report(sections: list[tuple[str, DataFrame | None]], title: str) -> str:
+    """A Markdown report of small results (a row for each fixture, type, task or fact), each under
+    its heading; what was not measured (none, or no rows) says so."""
+    out = [f"# {title}", ""]
+    for name, df in sections:
+        table = markdown(df) if df is not None else ""
+        out += [f"## {name}", "", table if table.count("\n") > 2 else "NOT MEASURED.", ""]
+    return "\n".join(out)
