@@ -154,3 +154,15 @@ def test_toxicity_learns_stems_and_sees_through_disguise(spark, docs):
 def test_toxicity_on_held_out_rows(spark):
     table, labels = tables(spark)
     assert accuracy(toxicity.score(table, *toxicity.learn(table, labels)), labels, "toxic") > 0.85
+    scored = toxicity.score(table, *toxicity.learn(table, labels)).where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).join(labels, "doc_id")
+    hit, named, toxic = scored.agg(F.sum(F.col("toxic") * F.col("predicted")), F.sum("predicted"), F.sum("toxic")).first()
+    assert hit >= 0.6 * toxic and hit >= 0.6 * named
+
+
+def test_toxicity_folds_disguises_and_merges_exceptions():
+    folded = lambda t: " ".join(toxicity.fold(t))
+    assert folded("\uff49\uff44\uff49\uff4f\uff54") == folded("i.d.i.o.t") == folded("i d i o t") == folded("1D10T") == folded("idiot")
+    assert folded("\ufb01lth") == folded("filth") and folded("a b in c.d") == "a b in c d".replace("l", "i")
+    lexicon = toxicity.Lexicon({" trash ": 1.0, " idiot ": 2.0}, [" trash can ", " can trash "])
+    assert [w for _, w in lexicon.hits(" trash can trash can idiot trash ")] == [2.0, 1.0]
+    assert len(lexicon.hits(" trash can" * 20_000 + " idiot " * 20_000)) == 20_000
