@@ -17,6 +17,7 @@ from ..operators import detect as D
 from ..operators import fuse as U
 from ..operators import layout as L
 from ..operators import pages as P
+from ..operators import sessions as N
 from ..sources.html import elements, segments
 from ..streaming import streams as M
 
@@ -412,4 +413,87 @@ def l16_cases(spark, sf_dir):
 
 SQL["l16_cases"] = "SELECT CAST(nth AS INT) AS nth, candidate_id, ids, text, type, CAST(confidence AS DOUBLE) AS confidence, decision, rejected FROM (" + values([(i, *n[6:]) for i, n in enumerate(NAMED)], "nth, candidate_id, ids, text, type, confidence, decision, rejected") + ")"
 
-QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases, l16_cases)}
+#: Devices (vendor, description, fallback) and their tiers.
+DEVICES = (
+    ("NVIDIA", "", False, "dedicated"), ("nvidia", "x", True, "cpu"), ("AMD", "Radeon 740M", False, "integrated"), ("AMD", "Radeon RX 7600", False, "dedicated"), (None, "Radeon RX 7600", None, "integrated"),
+    ("intel", "Arc A770", False, "dedicated"), ("apple", None, False, "integrated"), (None, "some adapter", False, "integrated"), (None, None, False, "unknown"), ("", "", None, "unknown"),
+)
+
+
+def v21_cases(spark, sf_dir):
+    """Tiers of fixed devices."""
+    df = spark.createDataFrame([(i, *d[:3]) for i, d in enumerate(DEVICES)], "n_case int, vendor string, description string, fallback boolean")
+    return df.select("n_case", N.gpu_tier(F.col("vendor"), F.col("description"), F.col("fallback")).alias("tier"))
+
+
+SQL["v21_cases"] = "SELECT CAST(n_case AS INT) AS n_case, tier FROM (" + values([(i, d[3]) for i, d in enumerate(DEVICES)], "n_case, tier") + ")"
+
+#: Asks for approval (id, at), their answers, and what comes of them.
+ASKS = (("a", 0.0, True, "approve"), ("b", 0.0, False, "deny"), ("c", 0.0, False, "timeout"), ("d", 0.0, False, "timeout"), ("e", 100.0, False, "dismiss"), ("f", 0.0, True, "approve"))
+ANSWERS = (("a", 10.0, "approve"), ("a", 11.0, "deny"), ("b", 5.0, "deny"), ("b", 6.0, "approve"), ("c", 55.5, "approve"), ("e", 50.0, "approve"), ("e", 120.0, "dismiss"), ("f", 55.0, "approve"), ("z", 1.0, "approve"))
+
+
+def m7_cases(spark, sf_dir):
+    """Fixed approvals."""
+    asks = spark.createDataFrame([a[:2] for a in ASKS], "id string, at double")
+    return N.approvals(asks, spark.createDataFrame(list(ANSWERS), "id string, at double, kind string"), ["id"])
+
+
+SQL["m7_cases"] = "SELECT id, CAST(\"at\" AS DOUBLE) AS \"at\", approved, reason FROM (" + values(ASKS, 'id, "at", approved, reason') + ")"
+
+#: Calls (session, at, took, timed out) and whether they are skipped: a skipped one starts no rest.
+CALLS = (("s", 0.0, 10.0, True, False), ("s", 50.0, 10.0, True, True), ("s", 99.0, 1.0, True, True), ("s", 100.0, 5.0, False, False), ("s", 106.0, 4.0, True, False), ("s", 199.0, 1.0, False, True), ("s", 200.0, 1.0, False, False), ("t", 50.0, None, None, False))
+
+
+def m8_cases(spark, sf_dir):
+    """Rests after the timeouts of fixed calls."""
+    return N.cooldowns(spark.createDataFrame([c[:4] for c in CALLS], "session string, at double, took double, timed_out boolean"), "session")
+
+
+SQL["m8_cases"] = "SELECT session, CAST(\"at\" AS DOUBLE) AS \"at\", skipped FROM (" + values([(c[0], c[1], c[4]) for c in CALLS], 'session, "at", skipped') + ")"
+
+#: Captures (session, at, device events) and why they ask for a restart, one every three captures.
+CAPTURES = (
+    ("s", 1.0, [], None), ("s", 2.0, None, None), ("s", 3.0, [], "capture-count 3 >= 3"), ("s", 4.0, [], None), ("s", 5.0, [(4.5, "lost"), (4.7, "slow")], "gpu-event (2 new: lost,slow)"),
+    ("s", 6.0, [(4.7, "slow")], None), ("s", 7.0, [(4.7, "slow"), (6.5, "lost")], "gpu-event (1 new: lost)"), ("t", 1.0, [], None),
+)
+
+
+def m9_cases(spark, sf_dir):
+    """Restarts after fixed captures."""
+    return N.restarts(spark.createDataFrame([c[:3] for c in CAPTURES], "session string, at double, events array<struct<t:double,kind:string>>"), "session", 3)
+
+
+SQL["m9_cases"] = "SELECT session, CAST(\"at\" AS DOUBLE) AS \"at\", reason FROM (" + values([(c[0], c[1], c[3]) for c in CAPTURES], 'session, "at", reason') + ")"
+
+
+def l19_cases(spark, sf_dir):
+    """The digest of a fixed layout."""
+    rows = [(1, [("Name: Ann", (1.5, 2.4, 30.0, 9.9)), ("", (0.0, 0.0, 1.0, 1.0)), (None, None), ("no box", None)]), (2, [])]
+    df = spark.createDataFrame(rows, f"screen int, items array<struct<text:string,box:{G.BOX}>>")
+    return df.select("screen", N.layout_digest(F.col("items")).alias("digest"))
+
+
+SQL["l19_cases"] = """SELECT 1 AS screen, '- [2,2,30,10] "Name: Ann"' || chr(10) || '- [] "no box"' AS digest UNION ALL SELECT 2, ''"""
+
+#: Runs (fixture, coverage, regions) and checks (task, ok, skipped).
+RUNS = (("f", 0.5, 3), ("f", None, 5), ("f", 1.0, 4), ("g", None, None))
+CHECKS = (("x", True, False), ("x", False, False), ("x", True, True), ("y", True, True), ("z", None, None), ("z", True, False))
+
+
+def a10_cases(spark, sf_dir):
+    """Accuracy over fixed runs."""
+    return N.accuracy(spark.createDataFrame(list(RUNS), "fixture string, coverage double, regions int"), ["fixture"], ["coverage"], ["regions"])
+
+
+SQL["a10_cases"] = "SELECT fixture, CAST(runs AS BIGINT) AS runs, CAST(m AS DOUBLE) AS coverage_mean, CAST(p AS DOUBLE) AS regions_p50 FROM (VALUES ('f', 3, 0.75, 4.0), ('g', 1, NULL, NULL)) t(fixture, runs, m, p)"
+
+
+def a10_task_cases(spark, sf_dir):
+    """Pass rates of fixed checks."""
+    return N.pass_rates(spark.createDataFrame(list(CHECKS), "task string, ok boolean, skipped boolean"), ["task"])
+
+
+SQL["a10_task_cases"] = "SELECT task, CAST(p AS BIGINT) AS passed, CAST(n AS BIGINT) AS scored, CAST(a AS DOUBLE) AS accuracy FROM (VALUES ('x', 1, 2, 0.5), ('y', 0, 0, NULL), ('z', 1, 2, 0.5)) t(task, p, n, a)"
+
+QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases, l16_cases, v21_cases, m7_cases, m8_cases, m9_cases, l19_cases, a10_cases, a10_task_cases)}
