@@ -160,17 +160,52 @@ def drop_contained(findings: DataFrame, keys: list[str]) -> DataFrame:
 def adjudicate_or_fallback(fused: DataFrame, output: DataFrame, keys: list[str], allowed: tuple[str, ...], closed: bool = False) -> DataFrame:
     """Final findings with decision: an image whose model output is all valid is decided by it
     (adjudicated); any other falls back to its fused candidates, those that a valid item supports
-    marked salvaged. With `closed`, candidates of images without valid output all count as failed
-    (fail closed), which lowers the threshold they need."""
+    marked salvaged. With `closed` (fail closed) such an image has no findings; outcomes() says
+    that its redaction is not complete."""
     checked = adjudicate(fused, output, keys, allowed)
     good = checked.groupBy(*keys).agg(F.bool_and(F.col("status") == "valid").alias("all_valid"))
     valid = checked.where("status = 'valid'")
     by_model = valid.join(good.where("all_valid"), keys, "left_semi").select(*keys, "candidate_id", "text", F.col("type").alias("entity"), F.col("confidence").alias("score"), F.lit("adjudicated").alias("decision"), F.lit(False).alias("salvaged"), F.lit(False).alias("failed"))
+    if closed:
+        return by_model
     rest = fused.join(good.where("all_valid"), keys, "left_anti").join(valid.select(*keys, "candidate_id", F.lit(True).alias("named")), [*keys, "candidate_id"], "left")
-    by_fusion = rest.select(*keys, "candidate_id", "text", F.get("types", F.lit(0)).alias("entity"), F.col("confidence").alias("score"), F.lit("fusion_fallback").alias("decision"), F.coalesce("named", F.lit(False)).alias("salvaged"), F.lit(closed).alias("failed"))
+    by_fusion = rest.select(*keys, "candidate_id", "text", F.get("types", F.lit(0)).alias("entity"), F.col("confidence").alias("score"), F.lit("fusion_fallback").alias("decision"), F.coalesce("named", F.lit(False)).alias("salvaged"), F.lit(False).alias("failed"))
     return by_model.unionByName(by_fusion)
 
 
+def outcomes(images: DataFrame, output: DataFrame, fused: DataFrame, keys: list[str], allowed: tuple[str, ...], closed: bool = False) -> DataFrame:
+    """(keys, status, redaction_complete, fallback) of each row of images, as adjudicate_or_fallback()
+    decides: ok where all output is valid, else whether it failed or there was none (skipped), and
+    what steps in: fusion, or with `closed` fail_closed, which leaves the redaction incomplete."""
+    good = adjudicate(fused, output, keys, allowed).groupBy(*keys).agg(F.bool_and(F.col("status") == "valid").alias("all_valid"))
+    ok = F.coalesce("all_valid", F.lit(False))
+    why = F.when(F.col("all_valid").isNull(), "model_skipped" if closed else "fallback_fusion").otherwise("model_failed" if closed else "fallback_after_model_failure")
+    out = images.select(*keys).join(good, keys, "left")
+    return out.select(*keys, F.when(ok, "ok").otherwise(why).alias("status"), (ok | F.lit(not closed)).alias("redaction_complete"), F.when(~ok, "fail_closed" if closed else "fusion").alias("fallback"))
+
+
+def model_evidence(images: DataFrame, items: DataFrame, found: DataFrame, exact: DataFrame, fused: DataFrame, keys: list[str]) -> DataFrame:
+    """What a model is shown of each image: (keys, image, items, model_candidates, exact_candidates,
+    fused_candidates), the last four as arrays in order of their ids, empty where there are none.
+
+    images: (keys, width, height); items: (keys, id, text, box, confidence); found: (keys, entity,
+    text, score, source_id, box); exact: (keys, label, value, field_type, confidence, ids, box,
+    reason); fused: as of fuse(). Texts are cleaned. Null texts are empty. No key may be named
+    like an output.
+    """
+    text = lambda c: T.clean(F.coalesce(c, F.lit(""))).alias(c)
+    parts = (
+        (items, "items", ("id", text("text"), "box", "confidence")),
+        (found, "model_candidates", ("source_id", "entity", text("text"), "score", "box")),
+        (exact, "exact_candidates", ("ids", "label", text("value"), "field_type", "confidence", "box", "reason")),
+        (fused, "fused_candidates", ("candidate_id", "ids", "text", "types", "sources", "confidence", "box")),
+    )
+    out = images.select(*keys, F.struct("width", "height").alias("image"))
+    for df, name, columns in parts:
+        out = out.join(df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.array()))
+    return out
+
+
 def normalize_items(named: DataFrame, fused: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """What a model names, as candidates: named (keys, nth, raw, candidate_id, ids, text, type,
     confidence, additional) with its candidate found among the fused ones.

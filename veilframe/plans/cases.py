@@ -496,4 +496,49 @@ def a10_task_cases(spark, sf_dir):
 
 SQL["a10_task_cases"] = "SELECT task, CAST(p AS BIGINT) AS passed, CAST(n AS BIGINT) AS scored, CAST(a AS DOUBLE) AS accuracy FROM (VALUES ('x', 1, 2, 0.5), ('y', 0, 0, NULL), ('z', 1, 2, 0.5)) t(task, p, n, a)"
 
-QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases, l16_cases, v21_cases, m7_cases, m8_cases, m9_cases, l19_cases, a10_cases, a10_task_cases)}
+#: Images, what a model says of their one candidate, and who decides, openly and closed.
+SAID = ((1, "c0", "ok", None, "ok", None), (2, "cx", "fallback_after_model_failure", "fusion", "model_failed", "fail_closed"), (3, None, "fallback_fusion", "fusion", "model_skipped", "fail_closed"))
+
+
+def _said(spark):
+    box = (0.0, 0.0, 9.0, 9.0)
+    fused = spark.createDataFrame([(i, "c0", ["o0"], "ABC123", ["CERT"], ["ner"], 0.9, box) for i, *_ in SAID], f"image int, candidate_id string, ids array<string>, text string, types array<string>, sources array<string>, confidence double, box {G.BOX}")
+    said = spark.createDataFrame([(i, c, ["o0"], "CERT", "ABC123", 0.8) for i, c, *_ in SAID if c], "image int, candidate_id string, ids array<string>, type string, text string, confidence double")
+    return spark.createDataFrame([(i, 100, 50) for i, *_ in SAID], "image int, width int, height int"), said, fused
+
+
+def l18_cases(spark, sf_dir):
+    """Fixed images: who decides, by either policy, and how many findings that leaves."""
+    images, said, fused = _said(spark)
+    out = None
+    for closed in (False, True):
+        n = U.adjudicate_or_fallback(fused, said, ["image"], ("CERT",), closed).groupBy("image").agg(F.count("*").alias("n"))
+        one = U.outcomes(images, said, fused, ["image"], ("CERT",), closed).join(n, "image", "left").select("image", F.lit(closed).alias("closed"), "status", "redaction_complete", "fallback", F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+SQL["l18_cases"] = "SELECT CAST(image AS INT) AS image, closed, status, redaction_complete, fallback, CAST(n_findings AS BIGINT) AS n_findings FROM (" + values([(i, False, a, True, b, 1) for i, _, a, b, _, _ in SAID] + [(i, True, a, a == "ok", b, int(a == "ok")) for i, _, _, _, a, b in SAID], "image, closed, status, redaction_complete, fallback, n_findings") + ")"
+
+
+def l23_cases(spark, sf_dir):
+    """What a model is shown of a fixed image, as JSON, and of one without anything."""
+    images, _, fused = _said(spark)
+    box = (0.0, 0.0, 9.0, 9.0)
+    items = spark.createDataFrame([(1, "o1", " b\n c ", box, 0.5), (1, "o0", None, None, 0.9)], f"image int, id string, text string, box {G.BOX}, confidence double")
+    found = spark.createDataFrame([(1, "CERT", "ABC123", 0.9, "o0", None)], f"image int, entity string, text string, score double, source_id string, box {G.BOX}")
+    exact = spark.createDataFrame([(1, "No", " ABC123", "CERT", 0.98, ["o0"], None, "label")], f"image int, label string, value string, field_type string, confidence double, ids array<string>, box {G.BOX}, reason string")
+    key = ["screen"]
+    shown = U.model_evidence(*[df.withColumnRenamed("image", "screen") for df in (images.where("image < 3"), items, found, exact, fused.where("image = 1"))], key)
+    return shown.select("screen", *[F.to_json(c).alias(c) for c in ("items", "model_candidates", "exact_candidates", "fused_candidates")])
+
+
+_BOX_JSON = '"box":{"x1":0.0,"y1":0.0,"x2":9.0,"y2":9.0}'
+_SHOWN = (
+    (1, '[{"id":"o0","text":"","confidence":0.9},{"id":"o1","text":"b c",' + _BOX_JSON + ',"confidence":0.5}]', '[{"source_id":"o0","entity":"CERT","text":"ABC123","score":0.9}]', '[{"ids":["o0"],"label":"No","value":"ABC123","field_type":"CERT","confidence":0.98,"reason":"label"}]',
+     '[{"candidate_id":"c0","ids":["o0"],"text":"ABC123","types":["CERT"],"sources":["ner"],"confidence":0.9,' + _BOX_JSON + "}]"),
+    (2, "[]", "[]", "[]", "[]"),
+)
+SQL["l23_cases"] = "SELECT CAST(screen AS INT) AS screen, items, model_candidates, exact_candidates, fused_candidates FROM (" + values(_SHOWN, "screen, items, model_candidates, exact_candidates, fused_candidates") + ")"
+
+QUERIES |= {f.__name__: f for f in (p_cases, r1_cases, r3_cases, w_cases, l7_cases, j1_cases, w3_cases, k2_cases, v6_cases, t9_cases, a2_cases, t13_cases, c3_cases, m3_cases, m15_cases, k7_cases, l16_cases, v21_cases, m7_cases, m8_cases, m9_cases, l19_cases, a10_cases, a10_task_cases, l18_cases, l23_cases)}
