@@ -143,6 +143,24 @@ def test_groups_that_share_words_lose_all_near_copies(spark, docs, monkeypatch,
     assert sorted(r.doc_id for r in S.one_of_each_group(docs(*texts)).collect()) == want
 
 
+def test_fingerprint_groups_are_compared_before_the_exact_check(spark, docs, monkeypatch):
+    rng = random.Random(13)
+    words, texts = [f"v{i}" for i in range(400)], []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(400)]
+        texts += [" ".join(base)] + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (100, 200, 300)]
+    want = plain_components([plain_fingerprint(t) for t in texts], 2)
+    first = {}
+    pairs = {(first.setdefault(want[plain_fingerprint(t)], i), i) for i, t in enumerate(texts)}
+    seen, likeness = [], S._likeness
+    monkeypatch.setattr(S, "_likeness", lambda p, t, n: seen.append({(r.a, r.b) for r in p.collect()}) or likeness(p, t, n))
+    monkeypatch.setattr(F, "monotonically_increasing_id", lambda: F.col("first"))  # so that names are ids
+    kept = {r.doc_id for r in S.one_of_each_group(docs(*texts)).collect()}
+    assert kept == set(range(0, 24, 4))
+    assert seen[0] == {(a, b) for a, b in pairs if a < b} and len(seen[0]) > 6
+    assert not any(seen[0] & later for later in seen[1:])
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = random.Random(4)
     none = (S.np.empty(0, dtype=S.np.uint64), S.np.empty(0, dtype=S.np.int64))

@@ -135,7 +135,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     gives an empty result. Other columns of docs are not looked at.
     """
     marked = with_fingerprint(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "text", "fp", shingle)
-    marked = materialise(marked.select("doc_id", "fp"), "fingerprints")
+    return linked_groups(materialise(marked.select("doc_id", "fp"), "fingerprints"), radius)
+
+
+def linked_groups(marked: DataFrame, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of a table (doc_id, fp), which is read more than once."""
     firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     parts = materialise(components(links(firsts.select(F.lit(0).alias("seed"), "fp"), radius).select("a", "b")), "components")
     named = parts.join(firsts, parts.node == firsts.fp).select("node", "component", "first")
@@ -230,10 +234,11 @@ def _likeness(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return map_struct(both.select("a", "b", F.struct("text", "kept").alias("pair")), "pair", [T.StructField("likeness", T.DoubleType())], compare).drop("pair")
 
 
-def _decided(posts: DataFrame, fetch, similarity: float, shingle: int) -> DataFrame:
+def _decided(posts: DataFrame, linked: DataFrame, fetch, similarity: float, shingle: int) -> DataFrame:
     """The names (c) of texts that go. posts: a row (c, n, pos, token) for each shingle of a text's
-    prefix; names are numbers in the order of who stays, n is the text's number of shingles. fetch
-    gives (c, text) for a table of names."""
+    prefix; names are numbers in the order of who stays, n is the text's number of shingles. linked:
+    pairs (a, b) of names, a < b, that are compared before all others. fetch gives (c, text) for a
+    table of names."""
     gone = posts.select("c").limit(0)
     similar = compared = texts = None
     few, heads = FEW, HEADS
@@ -246,7 +251,12 @@ def _decided(posts: DataFrame, fetch, similarity: float, shingle: int) -> DataFr
         if posts.isEmpty():
             return gone
         if texts is None:
-            texts = materialise(fetch(posts.select("c").distinct()), "texts")
+            some = materialise(posts.select("c").distinct(), "some")
+            texts = materialise(fetch(some), "texts")
+            # a text that shares no shingle of its prefix is like no other
+            linked = linked.join(some.withColumnRenamed("c", "a"), "a", "left_semi").join(some.withColumnRenamed("c", "b"), "b", "left_semi")
+            judged = materialise(_likeness(materialise(linked.select("a", "b"), "linked"), texts, shingle), "judged")
+            compared, similar = judged.select("a", "b"), judged.where(F.col("likeness") >= similarity).select("a", "b")
         # of a large group the least name of each of `heads` parts: a partial aggregation
         large = posts.where(F.col("size") > few)
         tops = large.groupBy("token", "size", F.pmod(F.xxhash64("c"), F.lit(heads)).alias("part")).agg(F.min(F.struct("c", "n", "pos")).alias("t"))
@@ -257,16 +267,15 @@ def _decided(posts: DataFrame, fetch, similarity: float, shingle: int) -> DataFr
         pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.c") < F.col("r.c")) & alike(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"))).select(F.col("l.c").alias("a"), F.col("r.c").alias("b"))
         headed = join_one(large.drop("size"), tops, ["token"], "size", several=True).where((F.col("c") != F.col("tc")) & alike(F.col("n"), F.col("pos"), F.col("tn"), F.col("tpos")))
         pairs = pairs.union(headed.select(F.least("c", "tc"), F.greatest("c", "tc"))).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = pairs.join(compared, ["a", "b"], "left_anti")
         judged = materialise(_likeness(materialise(pairs, "pairs"), texts, shingle), "judged")
-        compared = judged.select("a", "b") if compared is None else compared.union(judged.select("a", "b"))
+        compared = compared.union(judged.select("a", "b"))
         now = judged.where(F.col("likeness") >= similarity).select("a", "b")
         # only a text that was compared with all others of its shingles can be said to stay
         first = tops.groupBy(F.col("tc").alias("c")).agg(F.count("*").alias("m"))
         ready = posts.groupBy("c").agg(F.count_if(F.col("size") > few).alias("k")).join(first, "c", "left")
         ready = materialise(ready.select("c", (F.col("k") == F.coalesce("m", F.lit(0))).alias("ready")), "ready")
-        similar = (now if similar is None else similar.drop("ready").union(now)).join(ready.select(F.col("c").alias("a"), "ready"), "a")
+        similar = similar.drop("ready").union(now).join(ready.select(F.col("c").alias("a"), "ready"), "a")
         similar = materialise(similar, "similar")
         left_now = posts.select("c").limit(0)
         while True:
@@ -286,13 +295,14 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """docs (with doc_id and text) less near copies: texts of a Jaccard similarity of `similarity`
     or more over `shingle`-word shingles.
 
-    Candidates come from an exact prefix filter: with all shingles in one order (rare ones first),
-    texts of n shingles that are so similar have one in common among their first
-    n - ceil(similarity * n) + 1. All candidates are compared, in the order of ids: a text stays if
-    none before it that stays is as similar to it, and goes otherwise. So nothing goes that was not
-    compared with a text that stays, and no two texts that stay are so similar. A shingle that
-    many prefixes have is taken in rounds: some of its texts are compared with all the others, those
-    decided leave, until none is left.
+    The groups of near_duplicates() (SimHash, pigeonring) come first: each text of a group is
+    compared with the group's first. Fingerprints lose pairs, so an exact check follows, a prefix
+    filter: with all shingles in one order (rare ones first), texts of n shingles that are so similar
+    have one in common among their first n - ceil(similarity * n) + 1. All candidates are compared,
+    in the order of ids: a text stays if none before it that stays is as similar to it, and goes
+    otherwise. So nothing goes that was not compared with a text that stays, and no two texts that
+    stay are so similar. A shingle that many prefixes have is taken in rounds: some of its texts are
+    compared with all the others, those decided leave, until none is left.
 
     Of equal texts (null counts as empty) the smallest id stays; null ids stay only where a text
     has no other; rows equal in id and text count once. Other columns stay. An empty table stays
@@ -306,17 +316,17 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     def make():
         def work(texts):
             all_of = [shingle_hashes(t, shingle) for t in texts]
-            return [[len(h) for h in all_of], [prefix(h, common, similarity).view(np.int64) for h in all_of]]
+            return [[len(h) for h in all_of], [prefix(h, common, similarity).view(np.int64) for h in all_of], [fingerprint(t) for t in texts]]
 
         return work
 
-    marked = map_text(keyed, "text", [T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))], make).drop("text")
+    marked = map_text(keyed, "text", [T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())], make).drop("text")
     # copies on the way to one task are added up first
-    classes = marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    classes = marked.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("fp").alias("fp"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
     # numbers in the order of ids, as names that are short and sort alike
     order = [F.col("first").isNull(), F.col("first"), F.col("k"), F.col("l")]
-    names = materialise(classes.select("k", "l", "first", "copies").orderBy(*order).withColumn("c", F.monotonically_increasing_id()), "names")
+    names = materialise(classes.select("k", "l", "first", "copies", "fp").orderBy(*order).withColumn("c", F.monotonically_increasing_id()), "names")
     posts = classes.join(names.select("k", "l", "c"), ["k", "l"]).select("c", "n", F.posexplode("tokens").alias("pos", "token"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
@@ -324,7 +334,9 @@ def one_of_each_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         found = join_one(keyed, some, ["k", "l"], "copies").where(F.col("doc_id").eqNullSafe(F.col("first")))
         return found.select("c", "text")
 
-    gone = _decided(posts, fetch, similarity, shingle)
+    groups = linked_groups(names.select(F.col("c").alias("doc_id"), "fp"))
+    linked = groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a < b")
+    gone = _decided(posts, linked, fetch, similarity, shingle)
     own = [free_name(docs, n) for n in ("veil_k", "veil_l", "veil_first", "veil_copies")]
     stays = names.join(gone, "c", "left_anti").select(*[F.col(x).alias(y) for x, y in zip(("k", "l", "first", "copies"), own, strict=True)])
     out = docs.select(*docs.columns, F.xxhash64(whole).alias(own[0]), F.xxhash64(whole, F.lit(1)).alias(own[1]))

@@ -36,7 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: groups by SimHash and pigeonring, whose texts are
+    held against the group's first (five-word shingles, similarity 0.8), then an exact check for the pairs
+    that fingerprints lose. Columns stay."""
     return _simhash.one_of_each_group(docs)
 
 
